@@ -14,7 +14,8 @@ d(A, B) = 1 - |A & B| / |A | B| is a metric; documents link at d <= 0.2. The joi
    don't prove a larger distance. While a region has many such documents, a bounded number of pivots is taken a round; each
    then leaves, so every region ends, and no pair that could link is passed over.
 
-The sketch has, in each of 512 bits, the parity of the shingles that fall there: two sketches differ in at most |A ^ B| bits.
+The sketch has, in each of 512 bits (for large sets also 4096), the parity of the shingles that fall there: two sketches differ in at
+most |A ^ B| bits.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; fewer than five words make one shingle of the whole; shingles are 64-bit
 hashes. Null or empty texts have no shingles and no links. Rows that share a doc_id are one document with several texts;
@@ -40,7 +41,8 @@ REGIONS = 4096
 FLUSH = 1_000_000
 HOT_LOCAL, HOT, HOT_MOST = 6, 16, 1 << 18
 SKETCH = 8
-LEAF, PIVOTS = 256, 16
+WIDE, WIDE_FROM = 64, 640
+LEAF, PIVOTS = 8192, 1024
 BITMAP_BITS = 1 << 23
 
 
@@ -49,18 +51,24 @@ def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(Words(data, offsets, lower=True), size)
 
 
-def _sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SKETCH 64-bit words of parities for each set."""
-    n = len(at) - 1
-    bits = np.bincount(np.repeat(np.arange(n), np.diff(at)) * 64 * SKETCH + (mix(sets) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=n * 64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, -1), axis=1).view("<i8").reshape(n, SKETCH)
+def _sketches(sets: np.ndarray, at: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """So many 64-bit words of parities for each set."""
+    n, width = len(at) - 1, 64 * words
+    bits = np.bincount(np.repeat(np.arange(n), np.diff(at)) * width + (mix(sets) % np.uint64(width)).astype(np.int64), minlength=n * width) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(n, -1), axis=1).view("<i8").reshape(n, words)
+
+
+def _wide(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray | None]:
+    """Sketches of WIDE words of the sets for which the common ones are too small, else None."""
+    n = np.diff(at)
+    return [_sketches(sets[at[k] : at[k + 1]], np.array([0, n[k]]), WIDE)[0] if n[k] >= WIDE_FROM else None for k in range(len(n))]
 
 
 def _keys(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), "<i8").reshape(-1, 2)
 
 
-_POINTS = "doc_id long, n long, k1 long, k2 long, sketch array<long>, shingle long, hits long"
+_POINTS = "doc_id long, n long, k1 long, k2 long, sketch array<long>, wide array<long>, shingle long, hits long"
 
 
 def _points(size: int):
@@ -75,7 +83,7 @@ def _points(size: int):
         keep = counts >= HOT_LOCAL
         k = int(keep.sum())
         none = pa.nulls(k, pa.int64())
-        return [none, none, none, none, pa.nulls(k, pa.list_(pa.int64())), values[keep].view(np.int64), counts[keep]]
+        return [none, none, none, none, *[pa.nulls(k, pa.list_(pa.int64()))] * 2, values[keep].view(np.int64), counts[keep]]
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
         for part in chunks(batch, "text"):
@@ -83,7 +91,7 @@ def _points(size: int):
             keys, n = _keys(sets, at), np.diff(at)
             sketch = pa.array(list(_sketches(sets, at)), pa.list_(pa.int64()))
             empty = pa.nulls(len(n), pa.int64())
-            yield [part.column(0), n, keys[:, 0], keys[:, 1], sketch, empty, empty]
+            yield [part.column(0), n, keys[:, 0], keys[:, 1], sketch, pa.array(_wide(sets, at), pa.list_(pa.int64())), empty, empty]
             for k in range(len(n)):
                 key = keys[k].tobytes()
                 if key not in seen:
@@ -247,7 +255,7 @@ class Join:
         self.spark, self.size = docs.sparkSession, size
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         scanned = materialize(map_batches(self.docs, _points, _POINTS, size), "points")
-        self.rows = scanned.filter("shingle IS NULL").select("doc_id", "n", "k1", "k2", "sketch")
+        self.rows = scanned.filter("shingle IS NULL").select("doc_id", "n", "k1", "k2", "sketch", "wide")
         frequent = scanned.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= HOT)
         top = frequent.orderBy(F.desc("hits"), "shingle").limit(HOT_MOST).toArrow()
         hot = top.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
@@ -256,7 +264,7 @@ class Join:
         self.order = self.spark.sparkContext.broadcast((hot[order], rank[order]))
         first = self.rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
         #: doc_id, rep, n, sketch of each row with a doc_id and shingles
-        self.points = materialize(self.rows.filter("n > 0 AND doc_id IS NOT NULL").join(first, ["k1", "k2"]).select("doc_id", "rep", "n", "sketch"), "reps")
+        self.points = materialize(self.rows.filter("n > 0 AND doc_id IS NOT NULL").join(first, ["k1", "k2"]).select("doc_id", "rep", "n", "sketch", "wide"), "reps")
 
     def regions(self) -> DataFrame:
         entries = map_batches(self.docs, _entries, _ENTRIES, self.size, self.order)
@@ -283,7 +291,15 @@ class Join:
         a = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         joined = pairs.join(a, "a").join(b, "b").filter("ra <> rb").filter(possible())
-        return joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        return self.wide(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+
+    def wide(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that the wide sketches of two large sets don't rule out: few enough to move whole sets for."""
+        facts = self.points.filter("doc_id = rep").select("rep", "n", "wide").dropDuplicates(["rep"])
+        a = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+        b = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+        bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        return pairs.join(a, "a").join(b, "b").filter(F.coalesce(9 * bits <= F.col("na") + F.col("nb"), F.lit(True))).select("a", "b")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) that connect all that are connected, and the components (node, component) of the linked documents."""
@@ -344,7 +360,7 @@ class Join:
         ring = F.coalesce((F.col("pa") != F.col("pb")) | (F.abs(F.col("da") - F.col("db")) <= 0.2 + 1e-9), F.lit(True))
         pairs = x.join(y, "sig").filter("ca <> cb").filter(ring).filter(possible())
         pairs = pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        return pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
+        return self.wide(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def possible() -> Column:
