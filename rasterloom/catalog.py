@@ -190,7 +190,7 @@ add("dct_coefficients", lambda s, d: analysis.dct_blocks(relations.part_pixels(s
 pixel_query("sample_stride", lambda p: analysis.stride_sample(p, 64), "SELECT image_id, x, y, r, g, b, a FROM px WHERE (y * width + x) % greatest(1, width * height // 64) = 0")
 add("encode_smallest_argmin", lambda s, d: analysis.smallest(relations.table(s, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("int").alias("ord"), F.col("l_quantity").cast("long").alias("byte_count"))), "SELECT l_orderkey AS image_id, arg_min(l_linenumber, (l_quantity, l_linenumber))::INTEGER AS ord, min(l_quantity)::BIGINT AS byte_count FROM lineitem GROUP BY l_orderkey")
 
-_FR = """fr AS (SELECT user_id AS animation_id, (row_number() OVER w - 1)::INTEGER AS frame_no, coalesce(least(655350, (epoch_ms(lead(ts) OVER w) - epoch_ms(ts)) // 1000), 0)::INTEGER AS delay_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_FR = """fr AS (SELECT user_id AS animation_id, (row_number() OVER w - 1)::INTEGER AS frame_no, coalesce(least(655350, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) // 1000000), 0)::INTEGER AS delay_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 add("animation_duration", lambda s, d: animation.summary(relations.event_frames(s, d)), f"WITH {_FR} SELECT animation_id, count(*)::BIGINT AS frame_count, sum(delay_ms)::BIGINT AS duration_ms FROM fr GROUP BY animation_id")
 add("animation_timeline", lambda s, d: animation.timeline(relations.event_frames(s, d)), f"WITH {_FR} SELECT animation_id, frame_no, delay_ms, (sum(delay_ms) OVER (PARTITION BY animation_id ORDER BY frame_no) - delay_ms)::BIGINT AS start_ms FROM fr")
 add("animation_last_frame", lambda s, d: animation.last_frame(relations.event_frames(s, d)), f"WITH {_FR} SELECT animation_id, max(frame_no)::INTEGER AS frame_no, arg_max(delay_ms, frame_no)::INTEGER AS delay_ms FROM fr GROUP BY animation_id")

@@ -38,9 +38,9 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """animation_id, frame_no, delay_ms: each user's events are frames, the gap to the next one is the delay."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = F.lead(at).over(order) - at
-    delay = F.coalesce(F.least(F.lit(655350), F.floor(gap / 1000)), F.lit(0)).cast("int")
+    delay = F.coalesce(F.least(F.lit(655350), F.floor(gap / 1_000_000)), F.lit(0)).cast("int")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("animation_id"), (F.row_number().over(order) - 1).alias("frame_no"), delay.alias("delay_ms"))
 
 
