@@ -61,7 +61,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """The blocks of ids (under 2**32), with their index."""
     n = len(ids)
     many = -(-n // BLOCK)
-    full = np.zeros(many * BLOCK, np.uint64)
+    full = np.zeros(many * BLOCK, np.uint32)
     full[:n] = ids
     full[n:] = ids[-1] if n else 0
     full = full.reshape(many, BLOCK)
@@ -70,7 +70,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     rank = min(BLOCK - 1, int(BLOCK * percentile / 100))
     chosen = np.partition(full, rank, axis=1)[:, rank]
     widths = np.ceil(np.log2(chosen.astype(np.float64) + 1)).astype(np.int64)
-    over = full >> widths.astype(np.uint64)[:, None]
+    over = full.astype(np.uint64) >> widths.astype(np.uint64)[:, None] if widths.max(initial=0) > 31 else full >> widths.astype(np.uint32)[:, None]
     at, pos = np.nonzero(over)
     high = over[at, pos].astype("<u4")
     n_over = np.bincount(at, minlength=many)
@@ -78,7 +78,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         if width:
-            words = pack(full[own] & np.uint64((1 << int(width)) - 1), int(width))
+            words = pack(full[own].astype(np.uint64) & np.uint64((1 << int(width)) - 1), int(width))
             for i, row in zip(own, words, strict=True):
                 payload[i] = row.tobytes()
     ends = np.cumsum(n_over)
@@ -99,6 +99,7 @@ def decode_blocks(data: bytes, first: int = 0, last: int | None = None) -> np.nd
     starts = np.frombuffer(data, "<u8", many + 1, at + 7 * many).astype(np.int64)
     base = at + 7 * many + 8 * (many + 1)
     last = many if last is None else min(last, many)
+    first = min(first, last)
     out = np.zeros((last - first, BLOCK), np.uint64)
     for width in np.unique(widths[first:last]):
         own = np.flatnonzero(widths[first:last] == width)
@@ -141,7 +142,8 @@ def _memory(path: str) -> Memory:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _STATE[path] = Memory(Parts(t), library_encode(t))
+        parts = Parts(t)
+        _STATE[path] = Memory(parts, library_encode(t, parts))
     return _STATE[path]
 
 

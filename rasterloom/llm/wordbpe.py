@@ -65,7 +65,7 @@ class Memory(dict):
     encode(part) gives a part's ids. Both the chunks and the parts that are remembered are bounded by limit.
     """
 
-    def __init__(self, parts: Parts, encode, limit: int = 500_000):
+    def __init__(self, parts: Parts, encode, limit: int = 900_000):
         super().__init__()
         self.parts, self.encode, self.limit = parts, encode, limit
         self.known: dict[str, bytes] = {}
@@ -91,6 +91,14 @@ class Memory(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-def library_encode(tokenizer):
-    """encode() of a Memory by the tokenizers library; a special token's string has the id of the token."""
-    return lambda word: tokenizer.encode(word, add_special_tokens=False).ids
+def library_encode(tokenizer, parts: Parts):
+    """encode() of a Memory by the library's model, on a part as its normalizer and pre-tokenizer leave it; a special token's
+    string has the id of the token."""
+    model, specials = tokenizer.model, parts.specials
+
+    def encode(word: str) -> list[int]:
+        if word in specials:
+            return [specials[word]]
+        return [t.id for t in model.tokenize(mapped(word))]
+
+    return encode
