@@ -86,21 +86,18 @@ def hue_saturation(hue: float = 0, saturation: float = 0) -> Callable[[Channels]
     within("hue", hue, -180, 180)
     within("saturation", saturation, -100, 100)
 
-    def apply(c: Channels) -> Channels:
+    t = lambda n: F.col(f"_hsl_{n}")
+
+    def apply(c: Channels) -> list[Channels]:
         r, g, b = (c[n] / F.lit(255.0) for n in "rgb")
-        top, low = F.greatest(r, g, b), F.least(r, g, b)
-        delta, light = top - low, (top + low) / 2
+        top, low, delta, light = (t(n) for n in ("top", "low", "delta", "light"))
         gray = delta == 0
         safe = F.when(gray, F.lit(1.0)).otherwise(delta)
         sat = F.when(gray, 0.0).otherwise(safe / F.when(gray, 1.0).otherwise(1 - F.abs(2 * light - 1)))
         turn = F.when(gray, 0.0).when(top == r, F.pmod((g - b) / safe, F.lit(6.0))).when(top == g, (b - r) / safe + 2).otherwise((r - g) / safe + 4) / 6
-        h = F.pmod(turn + F.lit(hue / 360), F.lit(1.0))
-        s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), sat * F.lit(1 + saturation / 100)))
-        chroma = (1 - F.abs(2 * light - 1)) * s
-        x = chroma * (1 - F.abs(F.pmod(h * 6, F.lit(2.0)) - 1))
-        base = light - chroma / 2
-        sector = F.least(F.lit(5), F.floor(h * 6).cast("int"))
+        h, s, chroma = t("h"), t("s"), t("chroma")
         zero = F.lit(0.0)
+        x, base, sector = t("x"), t("base"), t("sector")
         table = {"r": (chroma, x, zero, zero, x, chroma), "g": (x, chroma, chroma, x, zero, zero), "b": (zero, zero, x, chroma, chroma, x)}
         out = {}
         for n, picks in table.items():
@@ -108,7 +105,14 @@ def hue_saturation(hue: float = 0, saturation: float = 0) -> Callable[[Channels]
             for k, p in enumerate(picks[1:], 1):
                 pick = pick.when(sector == k, p)
             out[n] = to_byte((pick + base) * 255)
-        return out
+        return [
+            {"_hsl_top": F.greatest(r, g, b), "_hsl_low": F.least(r, g, b)},
+            {"_hsl_delta": top - low, "_hsl_light": (top + low) / 2},
+            {"_hsl_h": F.pmod(turn + F.lit(hue / 360), F.lit(1.0)), "_hsl_s": F.least(F.lit(1.0), F.greatest(F.lit(0.0), sat * F.lit(1 + saturation / 100)))},
+            {"_hsl_chroma": (1 - F.abs(2 * light - 1)) * s},
+            {"_hsl_x": chroma * (1 - F.abs(F.pmod(h * 6, F.lit(2.0)) - 1)), "_hsl_base": light - chroma / 2, "_hsl_sector": F.least(F.lit(5), F.floor(h * 6).cast("int"))},
+            out,
+        ]
 
     return apply
 
@@ -154,19 +158,17 @@ BLEND: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def source_over(back: Channels, over: Channels, mode: str = "normal", opacity: float = 1.0) -> Channels:
-    """Source-over of one pixel; a source without alpha leaves the backdrop as it is."""
+def source_over(back: Channels, over: Channels, mode: str = "normal", opacity: float = 1.0) -> list[Channels]:
+    """Source-over of one pixel, in levels; a source without alpha leaves the backdrop as it is."""
     if mode not in BLEND:
         raise ParameterError(f"unknown blend mode {mode}")
     within("opacity", opacity, 0, 1)
-    sa, ba = over["a"] / F.lit(255.0) * F.lit(float(opacity)), back["a"] / F.lit(255.0)
-    oa = sa + ba * (1 - sa)
-    safe = F.when(oa == 0, 1.0).otherwise(oa)
+    t = lambda n: F.col(f"_over_{n}")
+    sa, ba, oa = t("sa"), t("ba"), t("oa")
     skip = over["a"].isNull() | (sa <= 0)
-    out = {}
-    for n in "rgb":
-        b, s = back[n] / F.lit(255.0), over[n] / F.lit(255.0)
-        mixed = (1 - ba) * s + ba * BLEND[mode](b, s)
-        out[n] = F.when(skip, back[n]).otherwise(to_byte((sa * mixed + (1 - sa) * ba * b) / safe * 255)).cast("int")
+    first = {"_over_sa": over["a"] / F.lit(255.0) * F.lit(float(opacity)), "_over_ba": back["a"] / F.lit(255.0)}
+    first |= {f"_over_b{n}": back[n] / F.lit(255.0) for n in "rgb"} | {f"_over_s{n}": over[n] / F.lit(255.0) for n in "rgb"}
+    out = {n: F.when(skip, back[n]).otherwise(to_byte((sa * t(f"m{n}") + (1 - sa) * ba * t(f"b{n}")) / F.when(oa == 0, 1.0).otherwise(oa) * 255)).cast("int") for n in "rgb"}
     out["a"] = F.when(skip, back["a"]).otherwise(to_byte(oa * 255)).cast("int")
-    return out
+    mixed = {f"_over_m{n}": (1 - ba) * t(f"s{n}") + ba * BLEND[mode](t(f"b{n}"), t(f"s{n}")) for n in "rgb"}
+    return [first, {"_over_oa": sa + ba * (1 - sa)} | mixed, out]

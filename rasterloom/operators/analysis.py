@@ -50,9 +50,12 @@ def dhash(pixels: DataFrame) -> DataFrame:
     9 x 8 cells of mean luma; a bit is set if a cell is brighter than its right neighbour. Means are compared as cross products of
     integers. Images narrower than 9 or lower than 8 pixels take the cells' nearest pixels.
     """
-    col = lambda v, n, side: (F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (v >= F.floor(k * side / n)) & (v < F.greatest(F.floor((k + 1) * side / n), F.floor(k * side / n) + 1)))))
-    cells = pixels.select("image_id", "width", "height", "y", LUMA1000().alias("l"), col(F.col("x"), 9, F.col("width")).alias("gx"))
-    cells = cells.select("image_id", "l", "gx", col(F.col("y"), 8, F.col("height")).alias("gy"))
+    def cell(v: Column, n: int, side: Column) -> Column:
+        last = F.ceil(n * (v + 1) / side) - 1
+        return F.explode(F.sequence(F.when(side >= n, last).otherwise(F.ceil(n * v / side)), last))
+
+    cells = pixels.select("image_id", "height", "y", LUMA1000().alias("l"), cell(F.col("x"), 9, F.col("width")).alias("gx"))
+    cells = cells.select("image_id", "l", "gx", cell(F.col("y"), 8, F.col("height")).alias("gy"))
     means = cells.groupBy("image_id", "gy", "gx").agg(F.sum("l").alias("s"), F.count(F.lit(1)).alias("c"))
     row = Window.partitionBy("image_id", "gy").orderBy("gx")
     bits = means.withColumn("bit", (F.col("s") * F.lead("c").over(row) > F.lead("s").over(row) * F.col("c")).cast("int")).filter("gx < 8")

@@ -18,9 +18,18 @@ from rasterloom.functions.color import Channels, ParameterError
 BROADCAST_PIXELS = 1 << 18
 
 
-def apply(pixels: DataFrame, change: Callable[[Channels], Channels]) -> DataFrame:
-    """Puts new channels in the place of old ones; change comes from functions.color."""
-    return pixels.withColumns(change(color.channels()))
+def apply(pixels: DataFrame, change: Callable[[Channels], Channels | list[Channels]]) -> DataFrame:
+    """Puts new channels in the place of old ones; change comes from functions.color, as one level or several that build on each other."""
+    return levels(pixels, change(color.channels()))
+
+
+def levels(pixels: DataFrame, change: Channels | list[Channels]) -> DataFrame:
+    """Adds columns level by level, so that a value which many expressions name is worked out once; new helper columns are dropped."""
+    steps = change if isinstance(change, list) else [change]
+    out = pixels
+    for step in steps:
+        out = out.withColumns(step)
+    return out.drop(*{n for step in steps[:-1] for n in step} - set(pixels.columns)) if len(steps) > 1 else out
 
 
 def sized(pixels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -145,14 +154,14 @@ def composite(pixels: DataFrame, overlay: DataFrame, left: int = 0, top: int = 0
     """Lays one image (x, y, r, g, b, a) over each image at a place; what hangs over is clipped."""
     over = overlay.select((F.col("x") + left).alias("x"), (F.col("y") + top).alias("y"), *(F.col(n).alias(f"_{n}") for n in "rgba"))
     joined = pixels.join(_second(over), ["x", "y"], "left")
-    return joined.withColumns(color.source_over(color.channels(), {n: F.col(f"_{n}") for n in "rgba"}, mode, opacity)).drop("_r", "_g", "_b", "_a")
+    return levels(joined, color.source_over(color.channels(), {n: F.col(f"_{n}") for n in "rgba"}, mode, opacity)).drop("_r", "_g", "_b", "_a")
 
 
 def draw(pixels: DataFrame, shapes: list[tuple[Column, tuple[int, int, int, int]]]) -> DataFrame:
     """Fills shapes, given as predicates over x and y with a color, in order, source-over."""
     for inside, rgba in shapes:
         ink = {n: F.when(inside, F.lit(v)) for n, v in zip("rgba", rgba, strict=True)}
-        pixels = pixels.withColumns(color.source_over(color.channels(), ink))
+        pixels = levels(pixels, color.source_over(color.channels(), ink))
     return pixels
 
 
