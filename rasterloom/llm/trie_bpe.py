@@ -62,8 +62,8 @@ class TrieBpe:
         self.strings = [b""] * (max([*ids.values(), *self.parts.specials.values()]) + 1)
         for s, i in [*ids.items(), *self.parts.specials.items()]:
             self.strings[i] = s.encode()
-        self.memory = Memory(self.parts, self.encode_word)
-        self.root, self.nodes, self.limit = (-1, {}), 0, 2_000_000
+        self.memory = Memory(self.parts, self.encode_word, 500_000)
+        self.root, self.nodes, self.limit = (-1, {}), 0, 1_000_000
 
     def spine(self, t: int, right: bool) -> list[int]:
         """Tokens along t's right (or left) border, from the first symbol to t."""
