@@ -8,7 +8,9 @@ by (doc_id, place in the text), is equal, or has a Jaccard similarity of at leas
 3. Prefix: lines that are similar share one of the first n - ceil(0.8 n) + 1 words. Lines join on such words; in the join's condition stand
    the length filter, the positional filter (the words that follow must suffice for the overlap) and a parity sketch, whose
    differing bits can't outnumber the words that differ.
-4. Candidates are verified with their whole sets. Later lines of verified pairs go.
+4. Lines that share a word of more than FREQUENT prefixes are first held against the earliest of that word and length, so that a large
+   group of near copies makes as many pairs as lines; those found similar need no more partners of their own, but stay partners of others.
+5. Candidates are verified with their whole sets. Later lines of verified pairs go.
 
 The most frequent copies (a table of bounded size) are left out before words are sorted, so that a line which a third of all
 documents hold adds no rows to the join; rarer copies only cost time. Lines without words stay.
@@ -22,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import SPACE_CLASS, SPACES, let, materialize
+from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
-BUCKETS = 1 << 18
+BUCKETS, LEVELS = 1 << 18, 4
 HOT_COPIES, HOT_LINES = 16, 1 << 16
 LOW = (1 << 53) - 1
+#: Words of more prefixes than this get leaders; lists of documents under so many bytes are broadcast.
+FREQUENT, BROADCAST_BYTES = 128, 64 << 20
 
 
 def _words(line: Column) -> Column:
@@ -47,72 +51,90 @@ def first_places(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The table of rarity classes (1 to 127, a byte each) by hash bucket: a literal of BUCKETS bytes, whatever the input."""
+    """The rarity class (0 to 126) of each hash bucket, in a long's bits 53 and up: a literal array of BUCKETS longs, whatever the input."""
     words = docs.filter("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    level = counts.select("b", F.least(F.lit(126), F.floor(F.log2("c") * 4)).cast("int").alias("c"))
-    dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(level, "b", "left")
-    page = F.transform(F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0)).alias("c")))), lambda x: F.char(x["c"] + 1))
-    pages = materialize(dense.groupBy(F.shiftright("b", 8).alias("p")).agg(F.array_join(page, "").alias("cs")), "rarity")
-    whole = pages.groupBy().agg(F.array_join(F.sort_array(F.collect_list(F.struct("p", "cs")))["cs"], "").cast("binary").alias("r"))
-    return F.lit(bytes(whole.first()["r"]))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    level = counts.select("b", F.least(F.lit(126), F.floor(F.log2("c") * LEVELS)).cast("int").alias("c"))
+    classes = ["0"] * BUCKETS
+    for bucket, c in materialize(level, "rarity").collect():  # BUCKETS rows at most
+        classes[bucket] = str(c << 53)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
 def tokens(line: Column, table: Column) -> Column:
     """A line's distinct words as longs, rare first: the rarity class in the high bits, the hash in the low ones."""
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h).cast("long"), 53).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
+    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
+    ranked = F.transform(hashes, lambda h: table[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")].bitwiseOR(h.bitwiseAND(F.lit(LOW))))
+    return F.sort_array(F.array_distinct(ranked))
 
 
 def entries(docs: DataFrame, firsts: DataFrame, table: Column) -> DataFrame:
-    """token, doc_id, ln, n, pos, par of each word in a first line's prefix."""
+    """token, doc_id, ln, n, pos, par of each word in a first line's prefix, as a table: two joins read it."""
     hot = firsts.filter(F.col("copies") > HOT_COPIES).orderBy(F.desc("copies"), "h1", "h2").limit(HOT_LINES)
     hot = hot.select("h1", "h2", F.col("doc_id").alias("_d"), F.col("ln").alias("_l"))
     rows = _lines(docs).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     rows = rows.join(F.broadcast(hot), ["h1", "h2"], "left").filter("_d IS NULL OR (_d = doc_id AND _l = ln)")
-
-    def prefix(ts: Column) -> Column:
-        n = F.size(ts)
-        par = F.aggregate(ts, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.struct(F.slice(ts, F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("p"), n.alias("n"), par.alias("par"))
-
-    made = rows.select("doc_id", "ln", let(tokens(F.col("line"), table), prefix).alias("s"))
-    return made.select("doc_id", "ln", F.col("s.n").alias("n"), F.col("s.par").alias("par"), F.posexplode("s.p").alias("pos", "token"))
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (earlier, later) of lines that share a prefix word and pass all filters, once each."""
-    rows = rows.select("token", "doc_id", "ln", "n", "pos", "par")
-    a = rows.select("token", *(F.col(c).alias("a_" + c) for c in rows.columns[1:]))
-    b = rows.select("token", *(F.col(c).alias("b_" + c) for c in rows.columns[1:]))
+    made = rows.select("doc_id", "ln", tokens(F.col("line"), table).alias("ts")).withColumn("n", F.size("ts"))
+    bit = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
+    made = made.withColumn("par", F.aggregate("ts", F.lit(0).cast("long"), bit))
+    made = made.withColumn("p", F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1))
+    # outer: a filter of empty arrays, which there are none of, would work the words out again
+    return materialize(made.select("doc_id", "ln", "n", "par", F.posexplode_outer("p").alias("pos", "token")), "line-entries")
+
+
+def candidates(earlier: DataFrame, later: DataFrame, keys: tuple[str, ...] = ("token",)) -> DataFrame:
+    """Pairs (a: earlier, b: later) of lines that share a prefix word (and n, if that is among the keys) and pass all filters."""
+    a = earlier.select("token", *(F.col(c).alias("a_" + c) for c in ("doc_id", "ln", "n", "pos", "par")))
+    b = later.select("token", *(F.col(c).alias("b_" + c) for c in ("doc_id", "ln", "n", "pos", "par")))
     both = F.col("a_n") + F.col("b_n")
-    near = (
-        (F.col("a.token") == F.col("b.token"))
-        & ((F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_ln") < F.col("b_ln"))))
+    near = F.col("a.token") == F.col("b.token")
+    if "n" in keys:
+        near &= F.col("a_n") == F.col("b_n")
+    near &= (
+        ((F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_ln") < F.col("b_ln"))))
         & (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
         & (9 * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= 4 * both)
         & (9 * F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) <= both)
     )
-    return a.alias("a").join(b.alias("b"), near).select("a_doc_id", "a_ln", "b_doc_id", "b_ln").distinct()
+    return a.alias("a").join(b.alias("b"), near).select("a_doc_id", "a_ln", "b_doc_id", "b_ln")
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, ln of each later line of a pair whose whole sets are similar."""
+    ends = F.array(*(F.struct(F.col(f"{e}_doc_id").alias("doc_id"), F.col(f"{e}_ln").alias("ln")) for e in "ab"))
+    wanted = materialize(pairs.select(F.explode(ends).alias("w")).select("w.*").groupBy("doc_id").agg(F.collect_set("ln").alias("lns")), "line-wanted")
+    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lns")), F.lit(0))).first()
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    # texts stay where they are while the list of documents is small; beyond that they move
+    texts = texts.join(F.broadcast(wanted) if size[0] * 32 + size[1] * 8 <= BROADCAST_BYTES else wanted, "doc_id")
+    lines = texts.select("doc_id", "lns", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.array_contains("lns", F.col("ln")))
+    sets = materialize(lines.select("doc_id", "ln", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("set")), "line-sets")
+    a = sets.select(F.col("doc_id").alias("a_doc_id"), F.col("ln").alias("a_ln"), F.col("set").alias("x"))
+    b = sets.select(F.col("doc_id").alias("b_doc_id"), F.col("ln").alias("b_ln"), F.col("set").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(a, ["a_doc_id", "a_ln"]).join(b, ["b_doc_id", "b_ln"]).filter(9 * common >= 4 * (F.size("x") + F.size("y")))
+    out = materialize(found.select(F.col("b_doc_id").alias("doc_id"), F.col("b_ln").alias("ln")).distinct(), "line-copies")
+    discard(sets)
+    return out
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """first_places(), and doc_id, ln of the lines to remove for an earlier similar line."""
     firsts = first_places(docs)
-    table = rarity(docs)
-    pairs = materialize(candidates(entries(docs, firsts, table)), "line-pairs")
+    rows = entries(docs, firsts, rarity(docs))
+    # a word of many lines: each is held against the first of its length, and only what that leaves against all
+    often = rows.filter(F.col("token") >= F.lit(FREQUENT.bit_length() - 1) * LEVELS * (1 << 53)).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > FREQUENT)
+    often = materialize(often.select("token"), "line-tokens")
+    many = materialize(rows.join(often, "token", "left_semi"), "line-many")
+    leaders = many.groupBy("token", "n").agg(F.min(F.struct("doc_id", "ln", "pos", "par")).alias("at")).select("token", "n", "at.*")
+    led = verified(docs, materialize(candidates(leaders, many, ("token", "n")).distinct(), "line-led"))
+    left = many.join(led, ["doc_id", "ln"], "left_anti")
+    few = rows.join(often, "token", "left_anti")
     # an equal line at a later place is removed for its first place, and a pair of two later places has one of first places too
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_doc_id").alias("doc_id"), F.col("a_ln").alias("ln")), F.struct(F.col("b_doc_id").alias("doc_id"), F.col("b_ln").alias("ln")))).alias("w")).select("w.*").distinct()
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("ln").alias("lns"))
-    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.split("text", "\n").alias("lines")).join(by_doc, "doc_id")
-    sets = texts.select("doc_id", F.explode("lns").alias("ln"), "lines").select("doc_id", "ln", F.array_distinct(F.transform(_words(F.get("lines", F.col("ln"))), lambda w: F.xxhash64(w))).alias("set"))
-    sets = materialize(sets, "line-sets")
-    a = sets.select(F.col("doc_id").alias("a_doc_id"), F.col("ln").alias("a_ln"), F.col("set").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b_doc_id"), F.col("ln").alias("b_ln"), F.col("set").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(a, ["a_doc_id", "a_ln"]).join(b, ["b_doc_id", "b_ln"]).filter(9 * common >= 4 * (F.size("x") + F.size("y")))
-    return firsts, materialize(found.select(F.col("b_doc_id").alias("doc_id"), F.col("b_ln").alias("ln")).distinct(), "line-copies")
+    pairs = materialize(candidates(few, few).union(candidates(many, left)).distinct().join(led.select(F.col("doc_id").alias("b_doc_id"), F.col("ln").alias("b_ln")), ["b_doc_id", "b_ln"], "left_anti"), "line-pairs")
+    discard(many)
+    discard(rows)
+    return firsts, led.union(verified(docs, pairs)).distinct()
 
 
 def decisions(docs: DataFrame) -> DataFrame:
