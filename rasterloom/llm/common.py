@@ -79,7 +79,7 @@ def map_batches(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], It
     return df.mapInArrow(run, schema)
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about limit bytes together: bounds what one step holds. A longer text is alone."""
     col = batch.column(batch.schema.get_field_index(text))
     off = offsets(col)

@@ -62,8 +62,10 @@ class TrieBpe:
         self.strings = [b""] * (max([*ids.values(), *self.parts.specials.values()]) + 1)
         for s, i in [*ids.items(), *self.parts.specials.items()]:
             self.strings[i] = s.encode()
-        self.memory = Memory(self.parts, self.encode_word, 500_000)
-        self.root, self.nodes, self.limit = (-1, {}), 0, 1_000_000
+        self.memory = Memory(self.parts, self.encode_word, 250_000)
+        # the trie: node and character -> node below, and each node's last token; one table takes a third of a table a node
+        self.below: dict[int, int] = {}
+        self.state, self.limit = [-1], 600_000
 
     def spine(self, t: int, right: bool) -> list[int]:
         """Tokens along t's right (or left) border, from the first symbol to t."""
@@ -95,7 +97,7 @@ class TrieBpe:
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             known = self.pairs[key] = self.meets(a, b)
         return known
@@ -105,17 +107,20 @@ class TrieBpe:
         if word in self.parts.specials:
             return [self.parts.specials[word]]
         w = mapped(word)
-        if self.nodes > self.limit:
-            self.root, self.nodes = (-1, {}), 0
-        node, path = self.root, [-1]
+        if len(self.state) > self.limit:
+            self.below.clear()
+            del self.state[1:]
+        below, state = self.below, self.state
+        node, path = 0, [-1]
         inner = w[:-1] if self.tail else w
         for depth, c in enumerate(inner, 1):
-            below = node[1].get(c)
-            if below is None:
-                below = node[1][c] = (self._last(inner, depth, "", path), {})
-                self.nodes += 1
-            node = below
-            path.append(node[0])
+            edge = node << 21 | ord(c)
+            node = below.get(edge)
+            if node is None:
+                last = self._last(inner, depth, "", path)
+                node = below[edge] = len(state)
+                state.append(last)
+            path.append(state[node])
         out, at = [], len(w)
         if self.tail:
             out.append(self._last(w, at, self.tail, path))
