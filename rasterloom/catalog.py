@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, geometry
-from rasterloom.operators import analysis, animation, pixelwise
-from rasterloom.sources import relations
+from rasterloom.operators import analysis, animation, packed, pixelwise
+from rasterloom.sources import headers, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -258,6 +258,40 @@ add("palette", lambda s, d: analysis.palette(relations.embedding_pixels(s, d)))
 add("dominant_color", lambda s, d: analysis.dominant_color(relations.embedding_pixels(s, d)))
 add("blurhash", lambda s, d: analysis.blurhash(relations.embedding_pixels(s, d)))
 
+#: The packed layout: files of PNG bytes, and operators on neighbourhoods.
+
+
+def _png_files(s: SparkSession, d: str) -> DataFrame:
+    return packed.to_png(packed.pack(relations.part_pixels(s, d, varied_alpha=True)))
+
+
+def _packed_query(name: str, *kernels: packed.Kernel, out: str | None = None, source: str = "part") -> None:
+    pixel_query(name, lambda p: packed.unpack(packed.change(packed.pack(p), *kernels)), out, source=source)
+
+
+_SOFT = "(" + " + ".join(f"{(2 - abs(i)) * (2 - abs(j))} * n{i + 1}{j + 1}.C" for i in (-1, 0, 1) for j in (-1, 0, 1)) + ") / 16.0::DOUBLE"
+_NEAR = " ".join(f"JOIN px n{i + 1}{j + 1} ON n{i + 1}{j + 1}.image_id = p.image_id AND n{i + 1}{j + 1}.x = greatest(0, least(7, p.x + {i})) AND n{i + 1}{j + 1}.y = greatest(0, least(7, p.y + {j}))" for i in (-1, 0, 1) for j in (-1, 0, 1))
+_SHARP = ", ".join(clamp(f"p.{c} + (p.{c} - {_SOFT.replace('.C', '.' + c)})") + f" AS {c}" for c in "rgb")
+
+pixel_query("png_round_trip", lambda p: packed.unpack(packed.from_png(packed.to_png(packed.pack(p)))), "SELECT * FROM px", True)
+add(
+    "png_probe",
+    lambda s, d: _png_files(s, d).select("image_id", headers.identify(F.col("content")).alias("format"), headers.probe(F.col("content")).alias("p")).select("image_id", "format", "p.width", "p.height", "p.frames"),
+    "SELECT p_partkey AS image_id, 'png' AS format, p_size::INTEGER AS width, 16 AS height, 1 AS frames FROM part WHERE p_size > 0",
+)
+add(
+    "identify_documents",
+    lambda s, d: relations.table(s, d, "documents").groupBy(F.coalesce(headers.identify(F.col("text").cast("binary")), F.lit("unknown")).alias("format")).agg(F.count(F.lit(1)).alias("n")),
+    "SELECT 'unknown' AS format, count(*)::BIGINT AS n FROM documents HAVING count(*) > 0",
+)
+_packed_query("sharpen", packed.sharpen(1.0), out=f"SELECT p.image_id, p.x, p.y, {_SHARP}, p.a FROM px p {_NEAR}", source="embedding")
+_packed_query("blur", packed.blur(1.5))
+_packed_query("resize_bilinear", packed.resize(24, 10, "bilinear"))
+_packed_query("resize_bicubic", packed.resize(24, 10, "bicubic"))
+_packed_query("resize_lanczos", packed.resize(24, 10, "lanczos"))
+_packed_query("thumbnail_then_sharpen", packed.resize(12, 12), packed.sharpen(0.5))
+_packed_query("rotate_free", packed.rotate(30, (255, 255, 255, 255)))
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
