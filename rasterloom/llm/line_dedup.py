@@ -51,20 +51,21 @@ def first_places(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The rarity class (0 to 126) of each hash bucket, in a long's bits 53 and up: a literal array of BUCKETS longs, whatever the input."""
+    """The rarity class (0 to 126, a byte) of each hash bucket: a literal array of BUCKETS bytes, whatever the input."""
     words = docs.filter("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     level = counts.select("b", F.least(F.lit(126), F.floor(F.log2("c") * LEVELS)).cast("int").alias("c"))
-    classes = ["0"] * BUCKETS
-    for bucket, c in materialize(level, "rarity").collect():  # BUCKETS rows at most
-        classes[bucket] = str(c << 53)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
+    dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(level, "b", "left")
+    page = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0)).cast("string").alias("c"))))["c"]
+    pages = materialize(dense.groupBy(F.shiftright("b", 8).alias("p")).agg(F.array_join(page, ",").alias("cs")), "rarity")
+    whole = pages.groupBy().agg(F.array_join(F.sort_array(F.collect_list(F.struct("p", "cs")))["cs"], ",").alias("r"))
+    return F.split(F.lit(whole.first()["r"]), ",").cast("array<tinyint>")
 
 
 def tokens(line: Column, table: Column) -> Column:
     """A line's distinct words as longs, rare first: the rarity class in the high bits, the hash in the low ones."""
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    ranked = F.transform(hashes, lambda h: table[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")].bitwiseOR(h.bitwiseAND(F.lit(LOW))))
+    ranked = F.transform(hashes, lambda h: F.shiftleft(table[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")].cast("long"), 53).bitwiseOR(h.bitwiseAND(F.lit(LOW))))
     return F.sort_array(F.array_distinct(ranked))
 
 

@@ -62,10 +62,10 @@ class TrieBpe:
         self.strings = [b""] * (max([*ids.values(), *self.parts.specials.values()]) + 1)
         for s, i in [*ids.items(), *self.parts.specials.items()]:
             self.strings[i] = s.encode()
-        self.memory = Memory(self.parts, self.encode_word, 250_000)
+        self.memory = Memory(self.parts, self.encode_word, 100_000)
         # the trie: node and character -> node below, and each node's last token; one table takes a third of a table a node
         self.below: dict[int, int] = {}
-        self.state, self.limit = [-1], 600_000
+        self.state, self.limit = [-1], 300_000
 
     def spine(self, t: int, right: bool) -> list[int]:
         """Tokens along t's right (or left) border, from the first symbol to t."""
@@ -97,7 +97,7 @@ class TrieBpe:
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 250_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             known = self.pairs[key] = self.meets(a, b)
         return known
