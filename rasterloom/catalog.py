@@ -183,6 +183,7 @@ add(
     lambda s, d: analysis.similar_pairs(analysis.dhash(relations.part_pixels(s, d)), 3),
     f"WITH {_DHASH}, u AS (SELECT hash, min(image_id) AS i FROM hs GROUP BY hash), p AS (SELECT a.i AS a, b.i AS b, list_sum(list_transform(range(1, 17), lambda k: bit_count(xor(strpos('0123456789abcdef', a.hash[k]) - 1, strpos('0123456789abcdef', b.hash[k]) - 1)))) AS distance FROM u a JOIN u b ON a.i < b.i) SELECT a, b, distance::INTEGER AS distance FROM p WHERE distance <= 3",
 )
+add("dhash_classes", lambda s, d: analysis.hash_classes(analysis.dhash(relations.part_pixels(s, d))), f"WITH {_DHASH} SELECT image_id, min(image_id) OVER (PARTITION BY hash) AS representative FROM hs")
 add("lsb_capacity", lambda s, d: analysis.lsb_capacity(relations.part_pixels(s, d, varied_alpha=True)), f"WITH {VARIED} SELECT image_id, (count(*) FILTER (a = 255) * 3)::BIGINT AS bits FROM px GROUP BY image_id")
 add("lsb_slots", lambda s, d: analysis.lsb_slots(relations.part_pixels(s, d, varied_alpha=True)), f"WITH {VARIED}, k AS (SELECT image_id, x, y, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS k FROM px WHERE a = 255) SELECT image_id, (k * 3 + c)::BIGINT AS slot, x, y, ['r', 'g', 'b'][c + 1] AS channel FROM k, (SELECT unnest([0, 1, 2]) AS c)")
 _COS = [[round(math.cos((2 * p + 1) * k * math.pi / 16) * 1_000_000) for p in range(8)] for k in range(3)]

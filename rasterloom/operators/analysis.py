@@ -71,14 +71,21 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.aggregate(pairs, F.lit(0), lambda s, v: s + v))
 
 
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """image_id and representative, the smallest image of the same hash, of every image: with similar_pairs() all links, those at distance 0 too."""
+    smallest = hashes.groupBy("hash").agg(F.min("image_id").alias("representative"))
+    return hashes.join(smallest, "hash").select("image_id", "representative")
+
+
 def similar_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs of distinct hashes within a distance of up to 3, by four bands of 16 bits, one of which must be equal.
 
-    Images with the same hash are one class first, so a large group of copies adds one hash to the join: a, b are classes' smallest images.
+    Images with the same hash are one class first, so a large group of copies adds one hash to the join: a, b are classes' smallest images,
+    and hash_classes() says which images each stands for.
     """
     if not 0 <= distance <= 3:
         raise ParameterError("four bands find distances up to 3")
-    classes = hashes.groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("images"))
+    classes = hashes.groupBy("hash").agg(F.min("image_id").alias("image_id"))
     bands = classes.select("image_id", "hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.substring("hash", k * 4 + 1, F.lit(4)))).alias("k", "band"))
     a = bands.select("k", "band", F.col("image_id").alias("a"), F.col("hash").alias("ha"))
     b = bands.select("k", "band", F.col("image_id").alias("b"), F.col("hash").alias("hb"))

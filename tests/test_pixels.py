@@ -69,6 +69,19 @@ def test_palette_and_hashes(spark):
     assert [r.d for r in pairs.select(analysis.hamming(pairs.a, pairs.b).alias("d")).collect()] == [1, 4, 64]
 
 
+def test_classes_and_pairs_give_all_links(spark):
+    hashes = {1: "0" * 16, 2: "0" * 16, 3: "0" * 15 + "1", 4: "0" * 15 + "1", 5: "0" * 15 + "1", 6: "f" * 16}
+    df = spark.createDataFrame(list(hashes.items()), "image_id long, hash string")
+    members = {}
+    for r in analysis.hash_classes(df).collect():
+        members.setdefault(r.representative, []).append(r.image_id)
+    assert sorted(sum(members.values(), [])) == sorted(hashes)
+    links = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    links |= {tuple(sorted((a, b))) for r in analysis.similar_pairs(df).collect() for a in members[r.a] for b in members[r.b]}
+    far = lambda a, b: (int(hashes[a], 16) ^ int(hashes[b], 16)).bit_count()
+    assert links == {(a, b) for a in hashes for b in hashes if a < b and far(a, b) <= 3}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
