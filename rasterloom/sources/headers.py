@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: The signatures that name each format, in hexadecimal digits.
 MAGIC = {"jpeg": ["FFD8FF"], "png": ["89504E470D0A1A0A"], "gif": ["474946383761", "474946383961"]}
 #: Brands of ISO base media files.
-AVIF_BRANDS, HEIC_BRANDS = ("avif", "avis"), ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1")
+AVIF_BRANDS, HEIC_BRANDS = ("avif", "avis"), ("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs", "mif1", "msf1")
 MOST = 1_000_000_000
 PROBED = "struct<width:int,height:int,frames:int,has_alpha:boolean,error:string>"
 
@@ -28,13 +28,14 @@ def identify(content: Column) -> Column:
         for start in starts:
             test = test.when(head.startswith(start), name)
     test = test.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
-    ftyp = F.substring(head, 9, 8) == "66747970"
-    brands = F.concat(F.substring(head, 17, 8), F.substring(head, 33, 96))
+    ftyp = (F.substring(head, 9, 8) == "66747970") & (F.length(head) >= 32)
+    # the major brand, and what follows its version up to the end of the box, as far as whole brands go
+    stop = F.conv(F.substring(head, 1, 8), 16, 10).cast("long")
+    more = F.least(F.greatest(stop, F.lit(16)), F.length(content).cast("long")).cast("int") - 16
+    brands = F.hex(F.concat(F.substring(content, 9, 4), F.substring(content, F.lit(17), more - more % 4)))
     for name, known in (("avif", AVIF_BRANDS), ("heic", HEIC_BRANDS)):
-        alike = F.lit(False)
-        for brand in known:
-            alike |= F.regexp_like(brands, F.lit(f"^(?:.{{8}})*?{brand.encode().hex().upper()}"))
-        test = test.when(ftyp & alike, name)
+        alike = "|".join(brand.encode().hex().upper() for brand in known)
+        test = test.when(ftyp & F.regexp_like(brands, F.lit(f"^(?:.{{8}})*?(?:{alike})")), name)
     return test
 
 

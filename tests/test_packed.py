@@ -36,6 +36,17 @@ def test_probes(spark):
         assert (row.p.error is None) == (want is not None)
 
 
+def test_brands_end_with_their_box(spark):
+    def of(major, *brands):
+        return box(b"ftyp", major + bytes(4) + b"".join(brands))
+
+    wanted = [("avif", of(b"xxxx", *[b"yyyy"] * 40, b"avif")), ("avif", of(b"mif1", *[b"miaf"] * 13, b"avis")), ("heic", of(b"hevm")), ("heic", of(b"xxxx", b"hevs"))]
+    wanted += [(None, of(b"xxxx", b"yyyy") + b"avif" * 3), (None, of(b"xxxx", b"yyav", b"ifyy")), (None, of(b"avif")[:15]), ("avif", of(b"avif")), ("heic", of(b"xxxx", b"heic")[:20]), (None, of(b"xxxx", b"heic")[:19])]
+    wanted += [("heic", of(b"xxxx", b"yyyy", *[b"yyyy"] * 5000, b"heic")), (None, b"\xff\xff\xff\xffftypxxxx" + bytes(4) + b"yyyyhei"), ("heic", b"\x00\x00\x00\x00ftypheic" + bytes(4)), (None, b"\x00\x00\x00\x00ftypxxxx" + bytes(4) + b"heic")]
+    rows = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(wanted)], "k int, content binary")
+    assert [r.f for r in rows.select("k", headers.identify(F.col("content")).alias("f")).orderBy("k").collect()] == [f for f, _ in wanted]
+
+
 def test_png_round_trip_and_filters():
     for raster in (RASTER, np.dstack([RASTER[..., :3], np.full((9, 13), 255, np.uint8)]), RASTER[:1, :1]):
         assert (png.decode(png.encode(raster)) == raster).all()
