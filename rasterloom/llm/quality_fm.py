@@ -4,8 +4,8 @@ Inputs of a text: logarithmic counts of its words by hash bucket, structure stat
 score = sigmoid(b + w.x + 1/2 sum_f ((V_f . x)^2 - V_f^2 . x^2)): the sum-of-squares identity gives all pairwise interactions
 in time linear in the inputs. Features of many texts are made and scored at once with numpy.
 
-Training takes at most sample_rows labelled rows, those with the smallest hash of doc_id (a documented bound); features are
-made on the executors, the fit (Adam on the logistic loss, fixed seed) runs on the driver over a matrix of bounded size.
+Training takes at most sample_rows labelled doc_ids, those with the smallest hash (a documented bound), one row of each: of rows that repeat a
+doc_id the one whose features are the smallest bytes, so that no doc_id outweighs others and reruns agree. Features are made on the executors, the fit (Adam on the logistic loss, fixed seed) runs on the driver over a matrix of bounded size.
 Scoring covers every whole text; only the model (a few hundred kilobytes) is sent to the executors.
 
 Null text is empty and is scored like one; null metadata is zero. Without labelled rows of both kinds all scores are the
@@ -162,10 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_ch
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), *_rows(docs, metadata)).join(F.broadcast(sample), "_id")
     rows = rows.withColumn("_y", F.col("_y").cast("int")).select("_y", "_text", *(f"_m{k}" for k in range(len(metadata))), "_id")
     keyed = map_batches(rows.select(F.struct("_id", "_y").alias("_key"), "_text", *(f"_m{k}" for k in range(len(metadata)))), _feature_rows, "key struct<_id:long,_y:int>, x binary")
-    got = sorted(keyed.limit(4 * sample_rows).toArrow().to_pylist(), key=lambda r: (r["key"]["_id"], r["x"]))
+    # rows that repeat a doc_id are one example, whichever run or place they come from: the driver gets sample_rows rows at most
+    single = keyed.select("key._id", "key._y", "x").groupBy("_id", "_y").agg(F.min("x").alias("x"))
+    got = sorted(single.toArrow().to_pylist(), key=lambda r: r["_id"])
     width = BUCKETS + N_STATS + len(metadata)
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, width)
-    return fit(x, np.array([r["key"]["_y"] for r in got], np.float32))
+    return fit(x, np.array([r["_y"] for r in got], np.float32))
 
 
 def _scorer(model, threshold: float):

@@ -127,6 +127,18 @@ def test_classifier(spark, docs):
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in got.items() if k is not None)
 
 
+def test_repeated_documents_are_one_example(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_fm, "fit", lambda x, y: seen.append((x, y)))
+    rows = [(k % 10 if k < 60 else 11, " ".join(random.choices(_W, k=5)), 1) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    train = [k for k in range(12) if k != 10 and zlib.crc32(str(k).encode()) % 5]
+    for order in (rows, rows[::-1]):
+        quality_fm.train(spark.createDataFrame(order, "doc_id long, text string, n_chars long"), labels, sample_rows=len(train) + 1)
+    (x, y), (again, _) = seen
+    assert len(x) == len(train) and list(y) == [k % 2 for k in train] and (x == again).all()
+
+
 def test_linear_time_identity():
     rng = np.random.default_rng(1)
     x, v, w = rng.normal(size=(4, 9)), rng.normal(size=(9, 3)), rng.normal(size=9)
