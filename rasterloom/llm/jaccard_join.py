@@ -263,8 +263,8 @@ class Join:
         rank = np.log2(np.maximum(top.column("hits").to_numpy(), 1)).astype(np.uint8)
         self.order = self.spark.sparkContext.broadcast((hot[order], rank[order]))
         first = self.rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-        #: doc_id, rep, n, sketch of each row with a doc_id and shingles
-        self.points = materialize(self.rows.filter("n > 0 AND doc_id IS NOT NULL").join(first, ["k1", "k2"]).select("doc_id", "rep", "n", "sketch", "wide"), "reps")
+        #: doc_id, rep, n, the set's key and sketches of each row with a doc_id and shingles
+        self.points = materialize(self.rows.filter("n > 0 AND doc_id IS NOT NULL").join(first, ["k1", "k2"]).select("doc_id", "rep", "n", "k1", "k2", "sketch", "wide"), "reps")
 
     def regions(self) -> DataFrame:
         entries = map_batches(self.docs, _entries, _ENTRIES, self.size, self.order)
@@ -294,12 +294,12 @@ class Join:
         return self.wide(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
 
     def wide(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that the wide sketches of two large sets don't rule out: few enough to move whole sets for."""
-        facts = self.points.filter("doc_id = rep").select("rep", "n", "wide").dropDuplicates(["rep"])
+        """Pairs that the wide sketches of two large sets don't rule out: few enough to move whole sets for. Of several sets that one rep stands for any will do."""
+        facts = self.points.filter("doc_id = rep").select("rep", "k1", "k2", "n", "wide").dropDuplicates(["rep", "k1", "k2"])
         a = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
         b = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
         bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        return pairs.join(a, "a").join(b, "b").filter(F.coalesce(9 * bits <= F.col("na") + F.col("nb"), F.lit(True))).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").filter(F.coalesce(9 * bits <= F.col("na") + F.col("nb"), F.lit(True))).select("a", "b").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) that connect all that are connected, and the components (node, component) of the linked documents."""
@@ -349,10 +349,11 @@ class Join:
 
     def window(self, rest: DataFrame, chosen: DataFrame, verified: DataFrame) -> DataFrame:
         """Pairs of a chosen pivot and a member of its region inside all windows, not yet verified."""
-        facts = self.points.select("rep", "n", "sketch").dropDuplicates(["rep"])
+        facts = self.points.select("rep", "k1", "k2", "n", "sketch").dropDuplicates(["rep", "k1", "k2"])
         known = verified.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d"))
         known = known.unionByName(verified.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("d")))
-        known = known.groupBy("rep", "pivot").agg(F.min("d").alias("d"))
+        # a document of several texts has several distances, and none of them bounds the others'
+        known = known.groupBy("rep", "pivot").agg(F.min("d").alias("d"), F.max("d").alias("_most")).filter("d = _most").drop("_most")
         full = rest.join(facts, "rep").join(known, ["rep", "pivot"], "left")
         x = full.select("sig", F.col("rep").alias("ra"), F.col("pivot").alias("pa"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("d").alias("da"))
         picked = full.join(chosen.select("sig", "rep"), ["sig", "rep"], "left_semi")

@@ -163,6 +163,23 @@ def test_jaccard_join(docs, leaf, monkeypatch):
     same(collected(jaccard_join.components(known)), oracle(known, jaccard_join.ORACLE), ["doc_id", "n_shingles", "component_id"])
 
 
+def test_jaccard_join_of_several_texts(spark):
+    one, two = ([f"{k}y{i}" for i in range(900)] for k in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two))]
+    assert {r["component_id"] for r in collected(jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")))} == {1}
+
+
+def test_windows_of_several_texts(spark):
+    one, two = ([f"{k}y{i}" for i in range(900)] for k in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    join = jaccard_join.Join(spark.createDataFrame([(1, " ".join(one)), (2, near(one)), (2, " ".join(two)), (3, near(two))], "doc_id long, text string"))
+    rest = spark.createDataFrame([(0, k, 1, k, True) for k in (1, 2, 3)], "sig long, rep long, pivot long, component long, minor boolean")
+    verified = join.verify(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"))
+    found = join.window(rest, rest, verified).collect()
+    assert [(r.a, r.b) for r in found] == [(2, 3)]
+
+
 def test_exact_topk(spark):
     rows = [(k, [random.choice([0.0, 0.5, -0.25, 0.101]) for _ in range(random.choice([4, 6]))], 0) for k in range(160)]
     rows += [(200, None, 0), (201, [], 0), (250, [1.0, None], 0), (300, [float("nan")], 0), (None, [1.0], 0)]
