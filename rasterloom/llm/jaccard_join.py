@@ -1,18 +1,20 @@
 """Operator 8: exact Jaccard join of documents in the metric space of their shingle sets.
 
-d(A, B) = 1 - |A & B| / |A | B| is a metric; documents link at d <= 0.2. The join partitions that space and recurses:
+d(A, B) = 1 - |A & B| / |A | B| is a metric; documents link at d <= 0.2. The method is not a recursive Voronoi partition: no document is
+assigned to a nearest pivot and no region is split again. Regions are the buckets of an inverted index over prefix shingles (as in
+operator 5), and a document is replicated by its prefix, not by a triangle window. Every pair that can link shares a bucket, so results are exact:
 
 1. Equal sets are one point: the smallest doc_id stands for its copies.
-2. The first pivots are single shingles. For A and B to link they must share one of A's first |A| - ceil(0.8 |A|) + 1 shingles
+2. A region is a single shingle. For A and B to link they must share one of A's first |A| - ceil(0.8 |A|) + 1 shingles
    in any order that holds for all; that is the window, and a document is replicated to the regions of these shingles. The order
    puts shingles that are frequent (counted over all documents; of those counts only the largest are kept, as they order and
    don't select) last, so shared passages don't gather documents.
-3. Within a region the smallest document is the pivot. Distances to pivots are worked out exactly; those within 0.2 are links.
+3. Within a region the smallest doc_id is the first pivot. Distances to pivots are worked out exactly; those within 0.2 are links.
    A region whose documents are in one component is done, because more links change nothing.
 4. What is left of a region, its documents outside the largest component, takes further pivots from these; a pivot meets a document
-   only inside the windows: |d(x, p) - d(y, p)| <= 0.2 around a pivot p that both know, sizes within 0.8 of each other, and sketches that
+   only inside the windows: |d(x, p) - d(y, p)| <= 0.2, if both distances to one pivot p are verified already (elsewhere it is open), sizes within 0.8 of each other, and sketches that
    don't prove a larger distance. While a region has many such documents, a bounded number of pivots is taken a round; each
-   then leaves, so every region ends, and no pair that could link is passed over.
+   is then marked spent, the others stay, so every region ends, and no pair that could link is passed over.
 
 The sketch has, in each of 512 bits (for large sets also 4096), the parity of the shingles that fall there: two sketches differ in at
 most |A ^ B| bits.
