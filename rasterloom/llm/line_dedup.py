@@ -145,25 +145,35 @@ def decisions(docs: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.col("ln")))).alias("kept"), F.count("gone").alias("near"))
 
 
+def rebuilt(docs: DataFrame) -> DataFrame:
+    """docs beside _text, the text without the lines taken out, _rest, its lines with their numbers in the old text (null doc_id or text: null), and _near."""
+    what = decisions(docs).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_stay"), F.col("near").alias("_near"))
+    joined = docs.join(what, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    stay = F.coalesce("_stay", F.array().cast("array<int>"))
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line")))
+    rest = F.filter(numbered, lambda x: (F.btrim(x["line"], F.lit(SPACES)) == "") | F.array_contains(stay, x["ln"]))
+    out = joined.withColumn("_rest", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), rest))
+    return out.withColumn("_text", F.when(F.col("_rest").isNull(), F.col("text")).otherwise(F.array_join(F.col("_rest.line"), "\n")))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines taken out of text; n_chars, where there is one, is the new length."""
-    what = decisions(docs).select(F.col("doc_id").alias("_doc"), "kept")
-    joined = docs.join(what, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    lines = F.split("text", "\n")
-    kept = F.coalesce("kept", F.array().cast("array<int>"))
-    text = F.array_join(F.filter(lines, lambda x, i: (F.btrim(x, F.lit(SPACES)) == "") | F.array_contains(kept, i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = rebuilt(docs).withColumn("text", F.col("_text")).select(*(F.col(f"`{c}`") for c in docs.columns))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (with words), n_kept, n_near and kept_sum (sum of the numbers of kept lines, from 0) of each document."""
-    what = decisions(docs).select(F.col("doc_id").alias("_doc"), "kept", "near")
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    joined = rows.join(what, F.col("doc_id") == F.col("_doc"), "left")
-    total = F.aggregate("kept", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce("near", F.lit(0)).cast("long").alias("n_near"), F.coalesce(total, F.lit(0)).cast("long").alias("kept_sum"))
+    """doc_id, n_lines (with words), n_kept, n_near and kept_sum (sum of the numbers of kept lines, from 0) of each row, counted in its rebuilt text."""
+    worded = lambda x: F.btrim(x, F.lit(SPACES)) != ""
+    count = lambda text: F.size(F.filter(F.split(text, "\n"), worded))
+    total = F.aggregate(F.filter("_rest", lambda x: worded(x["line"])), F.lit(0).cast("long"), lambda acc, x: acc + x["ln"])
+    return rebuilt(docs).select(
+        F.col("doc_id").cast("long"),
+        F.when(F.col("text").isNull(), 0).otherwise(count(F.col("text"))).cast("long").alias("n_lines"),
+        F.when(F.col("_rest").isNull(), 0).otherwise(count(F.col("_text"))).cast("long").alias("n_kept"),
+        F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(total, F.lit(0)).cast("long").alias("kept_sum"),
+    )
 
 
 ORACLE = r"""

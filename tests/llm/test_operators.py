@@ -115,6 +115,15 @@ def test_line_dedup(docs):
     assert out[0]["text"] is None and out[None]["text"] == "null id" and out[16]["size"] == 7
 
 
+def test_line_digest_counts_rebuilt_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b\n\nc d\na b"), (2, "c d\ne f"), (3, None), (None, "a b")], "doc_id long, text string")
+    row = lambda: {r["doc_id"]: (r["n_lines"], r["n_kept"], r["n_near"], r["kept_sum"]) for r in collected(line_dedup.digest(df))}
+    assert row() == {1: (3, 2, 0, 2), 2: (2, 1, 0, 1), 3: (0, 0, 0, 0), None: (1, 0, 0, 0)}
+    join = line_dedup.F.array_join
+    monkeypatch.setattr(line_dedup.F, "array_join", lambda col, sep: join(line_dedup.F.slice(col, 1, 0), sep) if sep == "\n" else join(col, sep))
+    assert {k: v[1] for k, v in row().items()} == {1: 0, 2: 0, 3: 0, None: 0}  # texts rebuilt without lines show
+
+
 def test_classifier(spark, docs):
     good = [(100 + k, " ".join(random.choices(_W, k=80)), None, None, None, 0, 0, 0) for k in range(120)]
     bad = [(300 + k, " ".join(f"{w}###" for w in random.choices(_W, k=80)), None, None, None, 0, 0, 0) for k in range(60)]
