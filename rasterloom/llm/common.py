@@ -34,18 +34,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    # the driver's collector is what lets go of shuffle files that no plan can read any more
+    spark._jvm.System.gc()
     out._rasterloom_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_rasterloom_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_rasterloom_path", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def n_words(text: Column) -> Column:

@@ -1,22 +1,23 @@
 """Operator 5 [native]: line deduplication by an exact set-similarity join, with DataFrame functions alone.
 
-A line's set is its distinct words (`[^\\x20\\x09-\\x0D]+`) as 64-bit hashes cut to 53 bits under a rarity class. A line is removed if an earlier line,
-by (doc_id, place in the text), is equal, or has a Jaccard similarity of at least 0.8 to it and is itself the first of its copies.
-
-1. Equal lines: the first place of each line is a minimum over two hashes; only first places go on.
-2. Rarity: occurrences of all words, counted in 2**18 hash buckets, on a logarithmic scale: a literal of fixed size. Words in a line are sorted by it, rare ones first. Any order is exact, a rare-first one is fast.
-3. Prefix: lines that are similar share one of the first n - ceil(0.8 n) + 1 words. Lines join on such words; in the join's condition stand
-   the length filter, the positional filter (the words that follow must suffice for the overlap) and a parity sketch, whose
-   differing bits can't outnumber the words that differ.
-4. Lines that share a word of more than FREQUENT prefixes are first held against the earliest of that word and length, so that a large
-   group of near copies makes as many pairs as lines; those found similar need no more partners of their own, but stay partners of others.
+A line's set is its distinct words (`[^\\x20\\x09-\\x0D]+`). A line is removed if an earlier line, by (doc_id, place in the text), is equal, or
+has a Jaccard similarity of at least 0.8 to it and is itself the first of its copies.
+
+1. Rarity: occurrences of all words, counted in hash buckets (16 a document, within bounds), on a logarithmic scale of 16
+   levels, as a literal. Words in a line are sorted by it, rare ones first. Any order is exact; a rare-first one is fast.
+2. Lines: one pass makes each line's hashes, size, parity sketch and prefix: the first n - ceil(0.8 n) + 1 words, which lines that
+   are similar must share one of. A minimum over place leaves the first of equal lines, so copies add nothing to what follows.
+3. Leaders: of the lines that share one of their rarest words and are about as long, the one with the most copies, then the earliest, is held
+   against the others. A line that is similar to an earlier leader needs no further witness: a group of near copies makes as many pairs as lines.
+4. Join: every line is the earlier side, lines without a witness are the later one. They meet on prefix words; the condition has the length
+   filter, the positional filter (the words that follow must suffice for the overlap) and the parity sketch, whose differing bits can't outnumber
+   the words that differ.
 5. Candidates are verified with their whole sets. Later lines of verified pairs go.
 
-The most frequent copies (a table of bounded size) are left out before words are sorted, so that a line which a third of all
-documents hold adds no rows to the join; rarer copies only cost time. Lines without words stay.
+Hashes: lines by two of 64 bits, words in sets by one of 64 bits, words in prefixes by 32 bits (a collision there only adds a candidate).
 
 Null text has no lines and stays null. Rows that share a doc_id are one document: the same lines are taken from each. Rows with a null
-doc_id are left as they are. Other columns are passed on. An empty table gives no rows.
+doc_id are left as they are. Lines without words stay. Other columns are passed on, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,152 +27,181 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
-BUCKETS, LEVELS = 1 << 18, 4
-HOT_COPIES, HOT_LINES = 16, 1 << 16
-LOW = (1 << 53) - 1
-#: Words of more prefixes than this get leaders; lists of documents under so many bytes are broadcast.
-FREQUENT, BROADCAST_BYTES = 128, 64 << 20
+#: Hash buckets of words, least and most (powers of two): 16 a document between. 16 levels of 4 bits share a long.
+BUCKETS = (1 << 16, 1 << 20)
+#: So many of a line's rarest words look for leaders.
+LEADER_WORDS = 3
+#: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(SPACES)), SPACE_CLASS)
+    """The words of a line: parted at blanks, or by the slower pattern where it has other white space."""
+    blanks = F.array_remove(F.split(line, " "), "")
+    return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(F.btrim(line, F.lit(SPACES)), SPACE_CLASS)).otherwise(blanks)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, ln and line of each line with a word."""
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return rows.filter(F.btrim("line", F.lit(SPACES)) != "")
+    return _texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.btrim("line", F.lit(SPACES)) != "")
+
 
+def rarity(docs: DataFrame) -> tuple[Column, int]:
+    """The rarity level (0 to 15) of hash buckets, as a literal array of longs of 16 levels each, and the number of buckets, which is bounded."""
+    n = min(max(1 << (16 * max(1, docs.count()) - 1).bit_length(), BUCKETS[0]), BUCKETS[1])
+    words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    shifted = _shift("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), F.col("b"))
+    levels = ["0"] * (n >> 4)
+    for p, word in counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted)).collect():  # n / 16 rows at most
+        levels[p] = str(word)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), n
 
-def first_places(docs: DataFrame) -> DataFrame:
-    """h1, h2, copies, doc_id, ln: the first place of each distinct line."""
-    rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln")).alias("at"), F.count(F.lit(1)).alias("copies"))
-    return materialize(firsts.select("h1", "h2", "copies", "at.doc_id", "at.ln"), "lines")
 
+def _shift(way: str, value: Column, bucket: Column) -> Column:
+    return F.call_function(way, value, (bucket.bitwiseAND(F.lit(15)) * 4).cast("int"))
 
-def rarity(docs: DataFrame) -> Column:
-    """The rarity class (0 to 126, a byte) of each hash bucket: a literal array of BUCKETS bytes, whatever the input."""
-    words = docs.filter("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    level = counts.select("b", F.least(F.lit(126), F.floor(F.log2("c") * LEVELS)).cast("int").alias("c"))
-    dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(level, "b", "left")
-    page = F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0)).cast("string").alias("c"))))["c"]
-    pages = materialize(dense.groupBy(F.shiftright("b", 8).alias("p")).agg(F.array_join(page, ",").alias("cs")), "rarity")
-    whole = pages.groupBy().agg(F.array_join(F.sort_array(F.collect_list(F.struct("p", "cs")))["cs"], ",").alias("r"))
-    return F.split(F.lit(whole.first()["r"]), ",").cast("array<tinyint>")
 
+def tokens(line: Column, table: Column, buckets: int) -> Column:
+    """A line's distinct words as longs, rare first: the rarity level in the high bits, 59 bits of the hash in the low ones."""
+
+    def ranked(h: Column) -> Column:
+        b = h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+        level = _shift("shiftrightunsigned", F.get(table, F.shiftright(b, 4)), b).bitwiseAND(F.lit(15))
+        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
 
-def tokens(line: Column, table: Column) -> Column:
-    """A line's distinct words as longs, rare first: the rarity class in the high bits, the hash in the low ones."""
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    ranked = F.transform(hashes, lambda h: F.shiftleft(table[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")].cast("long"), 53).bitwiseOR(h.bitwiseAND(F.lit(LOW))))
-    return F.sort_array(F.array_distinct(ranked))
+    return F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
 
 
-def entries(docs: DataFrame, firsts: DataFrame, table: Column) -> DataFrame:
-    """token, doc_id, ln, n, pos, par of each word in a first line's prefix, as a table: two joins read it."""
-    hot = firsts.filter(F.col("copies") > HOT_COPIES).orderBy(F.desc("copies"), "h1", "h2").limit(HOT_LINES)
-    hot = hot.select("h1", "h2", F.col("doc_id").alias("_d"), F.col("ln").alias("_l"))
-    rows = _lines(docs).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    rows = rows.join(F.broadcast(hot), ["h1", "h2"], "left").filter("_d IS NULL OR (_d = doc_id AND _l = ln)")
-    made = rows.select("doc_id", "ln", tokens(F.col("line"), table).alias("ts")).withColumn("n", F.size("ts"))
+def first_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, ln, copies, n, par (parity sketch) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
+    table, buckets = rarity(docs)
+    rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens(F.col("line"), table, buckets).alias("ts"))
     bit = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
-    made = made.withColumn("par", F.aggregate("ts", F.lit(0).cast("long"), bit))
-    made = made.withColumn("p", F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1))
-    # outer: a filter of empty arrays, which there are none of, would work the words out again
-    return materialize(made.select("doc_id", "ln", "n", "par", F.posexplode_outer("p").alias("pos", "token")), "line-entries")
+    rows = rows.withColumn("n", F.size("ts")).withColumns({"par": F.aggregate("ts", F.lit(0).cast("long"), bit), "p": F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)})
+    low = F.transform("p", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    firsts = rows.withColumn("prefix", low).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    return materialize(firsts.select("at.*", "copies"), "line-firsts")
+
+
+def entries(lines: DataFrame, words: Column, *more: str) -> DataFrame:
+    """A row for each of words, with its place pos in them, and its line's doc_id, ln, n, par and more."""
+    return lines.select("doc_id", "ln", "n", "par", *more, F.posexplode(words).alias("pos", "token"))
+
+
+def _named(rows: DataFrame, end: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{end}_{c}") for c in rows.columns))
+
 
+def _earlier(a: str, b: str) -> Column:
+    return F.struct(f"{a}_doc_id", f"{a}_ln") < F.struct(f"{b}_doc_id", f"{b}_ln")
 
-def candidates(earlier: DataFrame, later: DataFrame, keys: tuple[str, ...] = ("token",)) -> DataFrame:
-    """Pairs (a: earlier, b: later) of lines that share a prefix word (and n, if that is among the keys) and pass all filters."""
-    a = earlier.select("token", *(F.col(c).alias("a_" + c) for c in ("doc_id", "ln", "n", "pos", "par")))
-    b = later.select("token", *(F.col(c).alias("b_" + c) for c in ("doc_id", "ln", "n", "pos", "par")))
+
+def _near() -> Column:
+    """Whether the lines of entries a and b may be similar: length, positional and parity filter."""
     both = F.col("a_n") + F.col("b_n")
-    near = F.col("a.token") == F.col("b.token")
-    if "n" in keys:
-        near &= F.col("a_n") == F.col("b_n")
-    near &= (
-        ((F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_ln") < F.col("b_ln"))))
-        & (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
+    return (
+        (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
         & (9 * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= 4 * both)
         & (9 * F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) <= both)
     )
-    return a.alias("a").join(b.alias("b"), near).select("a_doc_id", "a_ln", "b_doc_id", "b_ln")
+
+
+def leader_pairs(firsts: DataFrame) -> DataFrame:
+    """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words and is about as long."""
+    rows = entries(firsts, F.slice("prefix", 1, LEADER_WORDS), "copies").withColumn("band", F.floor(F.log("n") * 9).cast("int"))
+    first = F.min(F.struct((-F.col("copies")).alias("few"), "doc_id", "ln", "n", "par", "pos"))
+    leaders = rows.groupBy("token", "band").agg(first.alias("at"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "band", "at.*")
+    a, b = _named(leaders, "a"), _named(rows, "b")
+    met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_band") == F.col("b_band")) & _near() & (_earlier("a", "b") | _earlier("b", "a")))
+    ends = [(c, F.when(_earlier("a", "b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")) for x, y in ("ab", "ba") for c in ("doc_id", "ln")]
+    return met.select(*(e for _, e in ends)).distinct()
+
+
+def all_pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (a: earlier, b: later) of lines that share a prefix word and pass the filters, where b isn't settled yet."""
+    a = _named(entries(firsts, F.col("prefix")), "a")
+    b = _named(entries(firsts.join(settled, ["doc_id", "ln"], "left_anti"), F.col("prefix")), "b")
+    met = a.join(b, (F.col("a_token") == F.col("b_token")) & _earlier("a", "b") & _near())
+    return met.select("a_doc_id", "a_ln", "b_doc_id", "b_ln").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, ln of each later line of a pair whose whole sets are similar."""
+    """doc_id, ln of each later line of a pair whose whole sets are similar, as a table."""
     ends = F.array(*(F.struct(F.col(f"{e}_doc_id").alias("doc_id"), F.col(f"{e}_ln").alias("ln")) for e in "ab"))
     wanted = materialize(pairs.select(F.explode(ends).alias("w")).select("w.*").groupBy("doc_id").agg(F.collect_set("ln").alias("lns")), "line-wanted")
-    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lns")), F.lit(0))).first()
-    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    # texts stay where they are while the list of documents is small; beyond that they move
-    texts = texts.join(F.broadcast(wanted) if size[0] * 32 + size[1] * 8 <= BROADCAST_BYTES else wanted, "doc_id")
+    texts = _texts(docs).join(_small(wanted, "lns"), "doc_id")
     lines = texts.select("doc_id", "lns", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.array_contains("lns", F.col("ln")))
-    sets = materialize(lines.select("doc_id", "ln", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("set")), "line-sets")
+    sets = materialize(lines.select("doc_id", "ln", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("set")).dropDuplicates(["doc_id", "ln"]), "line-sets")
     a = sets.select(F.col("doc_id").alias("a_doc_id"), F.col("ln").alias("a_ln"), F.col("set").alias("x"))
     b = sets.select(F.col("doc_id").alias("b_doc_id"), F.col("ln").alias("b_ln"), F.col("set").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     found = pairs.join(a, ["a_doc_id", "a_ln"]).join(b, ["b_doc_id", "b_ln"]).filter(9 * common >= 4 * (F.size("x") + F.size("y")))
     out = materialize(found.select(F.col("b_doc_id").alias("doc_id"), F.col("b_ln").alias("ln")).distinct(), "line-copies")
-    discard(sets)
+    discard(sets, wanted)
     return out
 
 
+def _small(table: DataFrame, lists: str) -> DataFrame:
+    """table, marked for broadcast if its rows and lists of numbers are under BROADCAST_BYTES as a hash relation; else as it is."""
+    rows, numbers = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(table) if rows * 96 + numbers * 8 <= BROADCAST_BYTES else table
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """first_places(), and doc_id, ln of the lines to remove for an earlier similar line."""
-    firsts = first_places(docs)
-    rows = entries(docs, firsts, rarity(docs))
-    # a word of many lines: each is held against the first of its length, and only what that leaves against all
-    often = rows.filter(F.col("token") >= F.lit(FREQUENT.bit_length() - 1) * LEVELS * (1 << 53)).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > FREQUENT)
-    often = materialize(often.select("token"), "line-tokens")
-    many = materialize(rows.join(often, "token", "left_semi"), "line-many")
-    leaders = many.groupBy("token", "n").agg(F.min(F.struct("doc_id", "ln", "pos", "par")).alias("at")).select("token", "n", "at.*")
-    led = verified(docs, materialize(candidates(leaders, many, ("token", "n")).distinct(), "line-led"))
-    left = many.join(led, ["doc_id", "ln"], "left_anti")
-    few = rows.join(often, "token", "left_anti")
+    """first_lines(), and doc_id, ln of the lines to remove for an earlier similar line, as tables."""
+    firsts = first_lines(docs)
+    pairs = materialize(leader_pairs(firsts), "line-pairs")
+    led = verified(docs, pairs)
+    discard(pairs)
     # an equal line at a later place is removed for its first place, and a pair of two later places has one of first places too
-    pairs = materialize(candidates(few, few).union(candidates(many, left)).distinct().join(led.select(F.col("doc_id").alias("b_doc_id"), F.col("ln").alias("b_ln")), ["b_doc_id", "b_ln"], "left_anti"), "line-pairs")
-    discard(many)
-    discard(rows)
-    return firsts, led.union(verified(docs, pairs)).distinct()
+    pairs = materialize(all_pairs(firsts, led), "line-pairs")
+    rest = verified(docs, pairs)
+    discard(pairs)
+    return firsts, led.union(rest)
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, kept and near: for each document with a first line, its lines that stay, and how many went for a similar line."""
+    """doc_id, kept and near, as a table: for each document with a first line, its lines that stay, and how many went for a similar line."""
     firsts, near = near_copies(docs)
     marked = firsts.select("doc_id", "ln").join(near.withColumn("gone", F.lit(True)), ["doc_id", "ln"], "left")
-    return marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.col("ln")))).alias("kept"), F.count("gone").alias("near"))
+    out = materialize(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone").isNull(), F.col("ln"))).alias("kept"), F.count("gone").alias("near")), "line-decisions")
+    discard(firsts)
+    return out
 
 
 def rebuilt(docs: DataFrame) -> DataFrame:
-    """docs beside _text, the text without the lines taken out, _rest, its lines with their numbers in the old text (null doc_id or text: null), and _near."""
-    what = decisions(docs).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_stay"), F.col("near").alias("_near"))
-    joined = docs.join(what, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    stay = F.coalesce("_stay", F.array().cast("array<int>"))
+    """row (all columns of docs), doc_id, text, new_text (without the lines taken out), rest (its lines with their numbers in the old text; null where doc_id or text is) and near."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(_small(decisions(docs), "kept"), "doc_id", "left")
+    stay = F.coalesce("kept", F.array().cast("array<int>"))
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line")))
-    rest = F.filter(numbered, lambda x: (F.btrim(x["line"], F.lit(SPACES)) == "") | F.array_contains(stay, x["ln"]))
-    out = joined.withColumn("_rest", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), rest))
-    return out.withColumn("_text", F.when(F.col("_rest").isNull(), F.col("text")).otherwise(F.array_join(F.col("_rest.line"), "\n")))
+    rest = F.filter(numbered, lambda x: F.array_contains(stay, x["ln"]) | (F.btrim(x["line"], F.lit(SPACES)) == ""))
+    out = joined.withColumn("rest", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), rest))
+    return out.withColumn("new_text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.array_join(F.col("rest.line"), "\n")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines taken out of text; n_chars, where there is one, is the new length."""
-    out = rebuilt(docs).withColumn("text", F.col("_text")).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    new = {"text": F.col("new_text"), "n_chars": F.char_length("new_text").cast("long")}
+    return rebuilt(docs).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with words), n_kept, n_near and kept_sum (sum of the numbers of kept lines, from 0) of each row, counted in its rebuilt text."""
     worded = lambda x: F.btrim(x, F.lit(SPACES)) != ""
     count = lambda text: F.size(F.filter(F.split(text, "\n"), worded))
-    total = F.aggregate(F.filter("_rest", lambda x: worded(x["line"])), F.lit(0).cast("long"), lambda acc, x: acc + x["ln"])
+    total = F.aggregate(F.filter("rest", lambda x: worded(x["line"])), F.lit(0).cast("long"), lambda acc, x: acc + x["ln"])
     return rebuilt(docs).select(
-        F.col("doc_id").cast("long"),
+        "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(count(F.col("text"))).cast("long").alias("n_lines"),
-        F.when(F.col("_rest").isNull(), 0).otherwise(count(F.col("_text"))).cast("long").alias("n_kept"),
-        F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
+        F.when(F.col("rest").isNull(), 0).otherwise(count(F.col("new_text"))).cast("long").alias("n_kept"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce(total, F.lit(0)).cast("long").alias("kept_sum"),
     )
 
