@@ -22,6 +22,8 @@ doc_id are left as they are. Lines without words stay. Other columns are passed
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,29 @@ from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
 #: Hash buckets of words, least and most (powers of two): 16 a document between. 16 levels of 4 bits share a long.
 BUCKETS = (1 << 16, 1 << 20)
+#: Words of the fullest buckets, which come last in any line and are left out of sketches.
+COMMON = 64
 #: So many of a line's rarest words look for leaders.
-LEADER_WORDS = 3
+LEADER_WORDS = 2
+#: The join runs over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
+PASSES = 2
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
 BROADCAST_BYTES = 64 << 20
 
 
 def _words(line: Column) -> Column:
-    """The words of a line: parted at blanks, or by the slower pattern where it has other white space."""
-    blanks = F.array_remove(F.split(line, " "), "")
-    return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(F.btrim(line, F.lit(SPACES)), SPACE_CLASS)).otherwise(blanks)
+    """The words of a line, and empty strings between: parted at blanks, or by the slower pattern where it has other white space."""
+    return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, SPACE_CLASS)).otherwise(F.split(line, " "))
+
+
+def hashes(line: Column) -> Column:
+    """64-bit hashes of a line's distinct words."""
+    return F.array_except(F.transform(_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+
+
+def _worded(line: Column) -> Column:
+    """Whether a line has a word."""
+    return F.ltrim(line, F.lit(SPACES)) != ""
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -47,51 +62,60 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, ln and line of each line with a word."""
-    return _texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.btrim("line", F.lit(SPACES)) != "")
+    return _texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(_worded(F.col("line")))
 
 
-def rarity(docs: DataFrame) -> tuple[Column, int]:
-    """The rarity level (0 to 15) of hash buckets, as a literal array of longs of 16 levels each, and the number of buckets, which is bounded."""
+def rarity(docs: DataFrame) -> tuple[Column, int, Column]:
+    """The rarity level (0 to 15) of hash buckets, as a literal array of longs of 16 levels each, the number of buckets, and common words' hashes: all bounded."""
     n = min(max(1 << (16 * max(1, docs.count()) - 1).bit_length(), BUCKETS[0]), BUCKETS[1])
-    words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").alias("h"))
+    # any word of a full bucket is nearly always its common one; which one it is changes no result
+    counts = materialize(words.groupBy(F.col("h").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("h").alias("h")), "line-counts")
     shifted = _shift("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), F.col("b"))
     levels = ["0"] * (n >> 4)
     for p, word in counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted)).collect():  # n / 16 rows at most
         levels[p] = str(word)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), n
+    common = [r["h"] for r in counts.orderBy(F.desc("c"), "b").limit(COMMON).collect()]
+    discard(counts)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), n, F.array(*map(F.lit, common)).cast("array<bigint>")
 
 
 def _shift(way: str, value: Column, bucket: Column) -> Column:
     return F.call_function(way, value, (bucket.bitwiseAND(F.lit(15)) * 4).cast("int"))
 
 
-def tokens(line: Column, table: Column, buckets: int) -> Column:
-    """A line's distinct words as longs, rare first: the rarity level in the high bits, 59 bits of the hash in the low ones."""
+def ranked(words: Column, table: Column, buckets: int) -> Column:
+    """Hashes with the rarity level in the high bits and 59 bits of the hash in the low ones, rare first."""
 
-    def ranked(h: Column) -> Column:
+    def place(h: Column) -> Column:
         b = h.bitwiseAND(F.lit(buckets - 1)).cast("int")
-        level = _shift("shiftrightunsigned", F.get(table, F.shiftright(b, 4)), b).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
+        level = _shift("shiftrightunsigned", F.get(table, F.shiftright(b, 4)), b)
+        return F.shiftleft(level, 60).bitwiseOR(h.bitwiseAND(F.lit((1 << 60) - 1))).bitwiseXOR(F.lit(-(1 << 63)))
 
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
+    return F.sort_array(F.transform(words, place))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, ln, copies, n, par (parity sketch) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
-    table, buckets = rarity(docs)
-    rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens(F.col("line"), table, buckets).alias("ts"))
-    bit = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
-    rows = rows.withColumn("n", F.size("ts")).withColumns({"par": F.aggregate("ts", F.lit(0).cast("long"), bit), "p": F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)})
+    """doc_id, ln, copies, n, par (parity sketch: two longs) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
+    table, buckets, common = rarity(docs)
+    rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes(F.col("line")).alias("ws"))
+    rows = rows.withColumns({"n": F.size("ws"), "rare": F.array_except("ws", common)})
+    rows = rows.withColumns({"ts": ranked(F.col("rare"), table, buckets), "len": F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1})
+    # common words are needed only where there are too few others
+    rows = rows.withColumn("p", F.slice(F.when(F.size("ts") < F.col("len"), F.concat("ts", F.sort_array(F.array_intersect("ws", common)))).otherwise(F.col("ts")), F.lit(1), F.col("len")))
+    # each word has one of 128 bits, in the one or the other sketch
+    flip = lambda acc, t, own: acc.bitwiseXOR(F.call_function("shiftleft", F.shiftright(own, 40).bitwiseAND(F.lit(1)), F.shiftright(t, 41).bitwiseAND(F.lit(63)).cast("int")))
+    odd = F.aggregate("ts", F.lit(0).cast("long"), lambda acc, t: flip(acc, t, t))
+    even = F.aggregate("ts", F.lit(0).cast("long"), lambda acc, t: flip(acc, t, F.bitwise_not(t)))
     low = F.transform("p", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    firsts = rows.withColumn("prefix", low).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", odd.alias("par"), even.alias("par2"), low.alias("prefix"))
+    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "par2", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
     return materialize(firsts.select("at.*", "copies"), "line-firsts")
 
 
 def entries(lines: DataFrame, words: Column, *more: str) -> DataFrame:
-    """A row for each of words, with its place pos in them, and its line's doc_id, ln, n, par and more."""
-    return lines.select("doc_id", "ln", "n", "par", *more, F.posexplode(words).alias("pos", "token"))
+    """A row for each of words, with its place pos in them, and its line's doc_id, ln, n, sketch and more."""
+    return lines.select("doc_id", "ln", "n", "par", "par2", *more, F.posexplode(words).alias("pos", "token"))
 
 
 def _named(rows: DataFrame, end: str) -> DataFrame:
@@ -99,35 +123,39 @@ def _named(rows: DataFrame, end: str) -> DataFrame:
 
 
 def _earlier(a: str, b: str) -> Column:
-    return F.struct(f"{a}_doc_id", f"{a}_ln") < F.struct(f"{b}_doc_id", f"{b}_ln")
+    return (F.col(f"{a}_doc_id") < F.col(f"{b}_doc_id")) | ((F.col(f"{a}_doc_id") == F.col(f"{b}_doc_id")) & (F.col(f"{a}_ln") < F.col(f"{b}_ln")))
 
 
 def _near() -> Column:
     """Whether the lines of entries a and b may be similar: length, positional and parity filter."""
     both = F.col("a_n") + F.col("b_n")
+    differ = F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) + F.bit_count(F.col("a_par2").bitwiseXOR(F.col("b_par2")))
     return (
         (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
         & (9 * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= 4 * both)
-        & (9 * F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) <= both)
+        & (9 * differ <= both)
     )
 
 
 def leader_pairs(firsts: DataFrame) -> DataFrame:
     """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words and is about as long."""
     rows = entries(firsts, F.slice("prefix", 1, LEADER_WORDS), "copies").withColumn("band", F.floor(F.log("n") * 9).cast("int"))
-    first = F.min(F.struct((-F.col("copies")).alias("few"), "doc_id", "ln", "n", "par", "pos"))
-    leaders = rows.groupBy("token", "band").agg(first.alias("at"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "band", "at.*")
-    a, b = _named(leaders, "a"), _named(rows, "b")
+    # a long that orders by copies (powers of two), then documents; of two lines in one document either may lead
+    order = F.shiftleft(31 - F.least(F.lit(31), F.floor(F.log2("copies"))), 58).bitwiseOR(F.col("doc_id").bitwiseAND(F.lit((1 << 58) - 1)))
+    best = (F.min_by(c, "order").alias(c) for c in ("doc_id", "ln", "n", "par", "par2", "pos"))
+    leaders = rows.withColumn("order", order).groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), *best).filter("c > 1").drop("c")
+    a, b = _named(leaders, "a"), _named(rows.drop("copies"), "b")
     met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_band") == F.col("b_band")) & _near() & (_earlier("a", "b") | _earlier("b", "a")))
-    ends = [(c, F.when(_earlier("a", "b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")) for x, y in ("ab", "ba") for c in ("doc_id", "ln")]
-    return met.select(*(e for _, e in ends)).distinct()
+    ends = (F.when(_earlier("a", "b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("doc_id", "ln"))
+    return met.select(*ends).distinct()
 
 
-def all_pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (a: earlier, b: later) of lines that share a prefix word and pass the filters, where b isn't settled yet."""
-    a = _named(entries(firsts, F.col("prefix")), "a")
-    b = _named(entries(firsts.join(settled, ["doc_id", "ln"], "left_anti"), F.col("prefix")), "b")
-    met = a.join(b, (F.col("a_token") == F.col("b_token")) & _earlier("a", "b") & _near())
+def all_pairs(firsts: DataFrame, settled: DataFrame, part: int) -> DataFrame:
+    """Pairs (a: earlier, b: later) of lines that share a prefix word of one part and pass the filters, where b isn't settled yet."""
+    own = F.col("token") % PASSES == part
+    a = _named(entries(firsts, F.col("prefix")).filter(own), "a")
+    b = _named(entries(firsts.join(settled, ["doc_id", "ln"], "left_anti"), F.col("prefix")).filter(own), "b")
+    met = a.join(b, (F.col("a_token") == F.col("b_token")) & _near() & _earlier("a", "b"))
     return met.select("a_doc_id", "a_ln", "b_doc_id", "b_ln").distinct()
 
 
@@ -137,7 +165,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = materialize(pairs.select(F.explode(ends).alias("w")).select("w.*").groupBy("doc_id").agg(F.collect_set("ln").alias("lns")), "line-wanted")
     texts = _texts(docs).join(_small(wanted, "lns"), "doc_id")
     lines = texts.select("doc_id", "lns", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.array_contains("lns", F.col("ln")))
-    sets = materialize(lines.select("doc_id", "ln", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("set")).dropDuplicates(["doc_id", "ln"]), "line-sets")
+    sets = materialize(lines.select("doc_id", "ln", hashes(F.col("line")).alias("set")).dropDuplicates(["doc_id", "ln"]), "line-sets")
     a = sets.select(F.col("doc_id").alias("a_doc_id"), F.col("ln").alias("a_ln"), F.col("set").alias("x"))
     b = sets.select(F.col("doc_id").alias("b_doc_id"), F.col("ln").alias("b_ln"), F.col("set").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -160,9 +188,9 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     led = verified(docs, pairs)
     discard(pairs)
     # an equal line at a later place is removed for its first place, and a pair of two later places has one of first places too
-    pairs = materialize(all_pairs(firsts, led), "line-pairs")
-    rest = verified(docs, pairs)
-    discard(pairs)
+    parts = [materialize(all_pairs(firsts, led, part), "line-pairs") for part in range(PASSES)]
+    rest = verified(docs, functools.reduce(DataFrame.union, parts).distinct())
+    discard(*parts)
     return firsts, led.union(rest)
 
 
@@ -181,7 +209,7 @@ def rebuilt(docs: DataFrame) -> DataFrame:
     joined = rows.join(_small(decisions(docs), "kept"), "doc_id", "left")
     stay = F.coalesce("kept", F.array().cast("array<int>"))
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line")))
-    rest = F.filter(numbered, lambda x: F.array_contains(stay, x["ln"]) | (F.btrim(x["line"], F.lit(SPACES)) == ""))
+    rest = F.filter(numbered, lambda x: F.array_contains(stay, x["ln"]) | ~_worded(x["line"]))
     out = joined.withColumn("rest", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), rest))
     return out.withColumn("new_text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.array_join(F.col("rest.line"), "\n")))
 
@@ -194,9 +222,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with words), n_kept, n_near and kept_sum (sum of the numbers of kept lines, from 0) of each row, counted in its rebuilt text."""
-    worded = lambda x: F.btrim(x, F.lit(SPACES)) != ""
-    count = lambda text: F.size(F.filter(F.split(text, "\n"), worded))
-    total = F.aggregate(F.filter("rest", lambda x: worded(x["line"])), F.lit(0).cast("long"), lambda acc, x: acc + x["ln"])
+    count = lambda text: F.size(F.filter(F.split(text, "\n"), _worded))
+    total = F.aggregate(F.filter("rest", lambda x: _worded(x["line"])), F.lit(0).cast("long"), lambda acc, x: acc + x["ln"])
     return rebuilt(docs).select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(count(F.col("text"))).cast("long").alias("n_lines"),
