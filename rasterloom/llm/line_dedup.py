@@ -29,12 +29,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
-#: Hash buckets of words, least and most (powers of two): 16 a document between. 16 levels of 4 bits share a long.
-BUCKETS = (1 << 16, 1 << 20)
-#: Words of the fullest buckets, which come last in any line and are left out of sketches.
-COMMON = 64
+#: Hash buckets of words, least and most, as powers of two: 16 a document between.
+BUCKET_BITS = (14, 19)
 #: So many of a line's rarest words look for leaders.
-LEADER_WORDS = 2
+LEADER_WORDS = 5
 #: The join runs over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
@@ -65,57 +63,41 @@ def _lines(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(_worded(F.col("line")))
 
 
-def rarity(docs: DataFrame) -> tuple[Column, int, Column]:
-    """The rarity level (0 to 15) of hash buckets, as a literal array of longs of 16 levels each, the number of buckets, and common words' hashes: all bounded."""
-    n = min(max(1 << (16 * max(1, docs.count()) - 1).bit_length(), BUCKETS[0]), BUCKETS[1])
-    words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").alias("h"))
-    # any word of a full bucket is nearly always its common one; which one it is changes no result
-    counts = materialize(words.groupBy(F.col("h").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("h").alias("h")), "line-counts")
-    shifted = _shift("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), F.col("b"))
-    levels = ["0"] * (n >> 4)
-    for p, word in counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted)).collect():  # n / 16 rows at most
-        levels[p] = str(word)
-    common = [r["h"] for r in counts.orderBy(F.desc("c"), "b").limit(COMMON).collect()]
-    discard(counts)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), n, F.array(*map(F.lit, common)).cast("array<bigint>")
+def rarity(docs: DataFrame) -> tuple[Column, int]:
+    """The rarity level (0 to 15) of each hash bucket, by the top bits of the hash, as a literal array, and the number of those bits: both bounded."""
+    bits = min(max((16 * max(1, docs.count()) - 1).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
+    words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    shifted = F.call_function("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
+    levels = ["0"] * (1 << bits)
+    for p, word in counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted)).collect():  # 16 buckets a row
+        levels[16 * p : 16 * p + 16] = (str(word >> 4 * k & 15) for k in range(16))
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), bits
 
 
-def _shift(way: str, value: Column, bucket: Column) -> Column:
-    return F.call_function(way, value, (bucket.bitwiseAND(F.lit(15)) * 4).cast("int"))
-
-
-def ranked(words: Column, table: Column, buckets: int) -> Column:
+def ranked(words: Column, table: Column, bits: int) -> Column:
     """Hashes with the rarity level in the high bits and 59 bits of the hash in the low ones, rare first."""
-
-    def place(h: Column) -> Column:
-        b = h.bitwiseAND(F.lit(buckets - 1)).cast("int")
-        level = _shift("shiftrightunsigned", F.get(table, F.shiftright(b, 4)), b)
-        return F.shiftleft(level, 60).bitwiseOR(h.bitwiseAND(F.lit((1 << 60) - 1))).bitwiseXOR(F.lit(-(1 << 63)))
-
+    place = lambda h: F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
     return F.sort_array(F.transform(words, place))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, ln, copies, n, par (parity sketch: two longs) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
-    table, buckets, common = rarity(docs)
+    """doc_id, ln, copies, n, par (parity sketch) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
+    table, bits = rarity(docs)
     rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes(F.col("line")).alias("ws"))
-    rows = rows.withColumns({"n": F.size("ws"), "rare": F.array_except("ws", common)})
-    rows = rows.withColumns({"ts": ranked(F.col("rare"), table, buckets), "len": F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1})
-    # common words are needed only where there are too few others
-    rows = rows.withColumn("p", F.slice(F.when(F.size("ts") < F.col("len"), F.concat("ts", F.sort_array(F.array_intersect("ws", common)))).otherwise(F.col("ts")), F.lit(1), F.col("len")))
-    # each word has one of 128 bits, in the one or the other sketch
-    flip = lambda acc, t, own: acc.bitwiseXOR(F.call_function("shiftleft", F.shiftright(own, 40).bitwiseAND(F.lit(1)), F.shiftright(t, 41).bitwiseAND(F.lit(63)).cast("int")))
-    odd = F.aggregate("ts", F.lit(0).cast("long"), lambda acc, t: flip(acc, t, t))
-    even = F.aggregate("ts", F.lit(0).cast("long"), lambda acc, t: flip(acc, t, F.bitwise_not(t)))
-    low = F.transform("p", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", odd.alias("par"), even.alias("par2"), low.alias("prefix"))
-    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "par2", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumns({"n": F.size("ws"), "ts": ranked(F.col("ws"), table, bits)})
+    rows = rows.withColumn("p", F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1))
+    flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(h)))
+    low = F.transform("p", lambda t: F.shiftright(t, 4).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", F.aggregate("ws", F.lit(0).cast("long"), flip).alias("par"), low.alias("prefix"))
+    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
     return materialize(firsts.select("at.*", "copies"), "line-firsts")
 
 
 def entries(lines: DataFrame, words: Column, *more: str) -> DataFrame:
-    """A row for each of words, with its place pos in them, and its line's doc_id, ln, n, sketch and more."""
-    return lines.select("doc_id", "ln", "n", "par", "par2", *more, F.posexplode(words).alias("pos", "token"))
+    """A row for each of words, with its place pos in them, the word before (or -1), and its line's doc_id, ln, n, par and more."""
+    rows = lines.select("doc_id", "ln", "n", "par", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token"))
+    return rows.withColumn("before", F.when(F.col("pos") > 0, F.get("ws", F.col("pos") - 1)).otherwise(F.lit(-1))).drop("ws")
 
 
 def _named(rows: DataFrame, end: str) -> DataFrame:
@@ -129,11 +111,10 @@ def _earlier(a: str, b: str) -> Column:
 def _near() -> Column:
     """Whether the lines of entries a and b may be similar: length, positional and parity filter."""
     both = F.col("a_n") + F.col("b_n")
-    differ = F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) + F.bit_count(F.col("a_par2").bitwiseXOR(F.col("b_par2")))
     return (
         (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
         & (9 * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= 4 * both)
-        & (9 * differ <= both)
+        & (9 * F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) <= both)
     )
 
 
@@ -142,7 +123,7 @@ def leader_pairs(firsts: DataFrame) -> DataFrame:
     rows = entries(firsts, F.slice("prefix", 1, LEADER_WORDS), "copies").withColumn("band", F.floor(F.log("n") * 9).cast("int"))
     # a long that orders by copies (powers of two), then documents; of two lines in one document either may lead
     order = F.shiftleft(31 - F.least(F.lit(31), F.floor(F.log2("copies"))), 58).bitwiseOR(F.col("doc_id").bitwiseAND(F.lit((1 << 58) - 1)))
-    best = (F.min_by(c, "order").alias(c) for c in ("doc_id", "ln", "n", "par", "par2", "pos"))
+    best = (F.min_by(c, "order").alias(c) for c in ("doc_id", "ln", "n", "par", "pos"))
     leaders = rows.withColumn("order", order).groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), *best).filter("c > 1").drop("c")
     a, b = _named(leaders, "a"), _named(rows.drop("copies"), "b")
     met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_band") == F.col("b_band")) & _near() & (_earlier("a", "b") | _earlier("b", "a")))
@@ -155,7 +136,8 @@ def all_pairs(firsts: DataFrame, settled: DataFrame, part: int) -> DataFrame:
     own = F.col("token") % PASSES == part
     a = _named(entries(firsts, F.col("prefix")).filter(own), "a")
     b = _named(entries(firsts.join(settled, ["doc_id", "ln"], "left_anti"), F.col("prefix")).filter(own), "b")
-    met = a.join(b, (F.col("a_token") == F.col("b_token")) & _near() & _earlier("a", "b"))
+    # lines that share the word before too have met there: that pair passes as well
+    met = a.join(b, (F.col("a_token") == F.col("b_token")) & ((F.col("a_before") != F.col("b_before")) | (F.col("a_before") == -1)) & _near() & _earlier("a", "b"))
     return met.select("a_doc_id", "a_ln", "b_doc_id", "b_ln").distinct()
 
 
