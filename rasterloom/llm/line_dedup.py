@@ -7,8 +7,8 @@ has a Jaccard similarity of at least 0.8 to it and is itself the first of its co
    levels, as a literal. Words in a line are sorted by it, rare ones first. Any order is exact; a rare-first one is fast.
 2. Lines: one pass makes each line's hashes, size, parity sketch and prefix: the first n - ceil(0.8 n) + 1 words, which lines that
    are similar must share one of. A minimum over place leaves the first of equal lines, so copies add nothing to what follows.
-3. Leaders: of the lines that share one of their rarest words and are about as long, the one with the most copies, then the earliest, is held
-   against the others. A line that is similar to an earlier leader needs no further witness: a group of near copies makes as many pairs as lines.
+3. Leaders: of the lines that share a prefix word and are about as long, the earliest, and the earliest of those with the most copies, are
+   held against the others. A line that is similar to an earlier leader needs no further witness: a group of near copies makes as many pairs as lines.
 4. Join: every line is the earlier side, lines without a witness are the later one. They meet on prefix words; the condition has the length
    filter, the positional filter (the words that follow must suffice for the overlap) and the parity sketch, whose differing bits can't outnumber
    the words that differ.
@@ -31,8 +31,8 @@ from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
 #: Hash buckets of words, least and most, as powers of two: 16 a document between.
 BUCKET_BITS = (14, 19)
-#: So many of a line's rarest words look for leaders.
-LEADER_WORDS = 5
+#: Groups of fewer lines need no leaders: they make few pairs.
+LEADER_GROUP = 4
 #: The join runs over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
@@ -82,21 +82,23 @@ def ranked(words: Column, table: Column, bits: int) -> Column:
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, ln, copies, n, par (parity sketch) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
+    """doc_id, ln, copies, n, par, par2 (parity sketch) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
     table, bits = rarity(docs)
     rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes(F.col("line")).alias("ws"))
     rows = rows.withColumns({"n": F.size("ws"), "ts": ranked(F.col("ws"), table, bits)})
     rows = rows.withColumn("p", F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1))
-    flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(h)))
+    # each word has one of 128 bits, in the one or the other long
+    flip = lambda own: lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", own(h).bitwiseAND(F.lit(1)), F.hash(h)))
+    par, par2 = (F.aggregate("ws", F.lit(0).cast("long"), flip(own)) for own in (lambda h: h, F.bitwise_not))
     low = F.transform("p", lambda t: F.shiftright(t, 4).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", F.aggregate("ws", F.lit(0).cast("long"), flip).alias("par"), low.alias("prefix"))
-    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", par.alias("par"), par2.alias("par2"), low.alias("prefix"))
+    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "par2", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
     return materialize(firsts.select("at.*", "copies"), "line-firsts")
 
 
 def entries(lines: DataFrame, words: Column, *more: str) -> DataFrame:
-    """A row for each of words, with its place pos in them, the word before (or -1), and its line's doc_id, ln, n, par and more."""
-    rows = lines.select("doc_id", "ln", "n", "par", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token"))
+    """A row for each of words, with its place pos in them, the word before (or -1), and its line's doc_id, ln, n, sketch and more."""
+    rows = lines.select("doc_id", "ln", "n", "par", "par2", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token"))
     return rows.withColumn("before", F.when(F.col("pos") > 0, F.get("ws", F.col("pos") - 1)).otherwise(F.lit(-1))).drop("ws")
 
 
@@ -111,21 +113,22 @@ def _earlier(a: str, b: str) -> Column:
 def _near() -> Column:
     """Whether the lines of entries a and b may be similar: length, positional and parity filter."""
     both = F.col("a_n") + F.col("b_n")
+    differ = F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) + F.bit_count(F.col("a_par2").bitwiseXOR(F.col("b_par2")))
     return (
         (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
         & (9 * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= 4 * both)
-        & (9 * F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) <= both)
+        & (9 * differ <= both)
     )
 
 
 def leader_pairs(firsts: DataFrame) -> DataFrame:
-    """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words and is about as long."""
-    rows = entries(firsts, F.slice("prefix", 1, LEADER_WORDS), "copies").withColumn("band", F.floor(F.log("n") * 9).cast("int"))
-    # a long that orders by copies (powers of two), then documents; of two lines in one document either may lead
-    order = F.shiftleft(31 - F.least(F.lit(31), F.floor(F.log2("copies"))), 58).bitwiseOR(F.col("doc_id").bitwiseAND(F.lit((1 << 58) - 1)))
-    best = (F.min_by(c, "order").alias(c) for c in ("doc_id", "ln", "n", "par", "pos"))
-    leaders = rows.withColumn("order", order).groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), *best).filter("c > 1").drop("c")
-    a, b = _named(leaders, "a"), _named(rows.drop("copies"), "b")
+    """Pairs (a: earlier, b: later) of a leader and a line that shares a prefix word with it and is about as long."""
+    # lines of one size that are similar share one of the first n - ceil(8 n / 9) + 1 words
+    rows = entries(firsts, F.slice("prefix", F.lit(1), F.floor(F.col("n") / 9).cast("int") + 1), "copies").withColumn("band", F.floor(F.log("n") * 9).cast("int"))
+    first = [F.min(F.struct(few.alias("few"), "doc_id", "ln", "n", "par", "par2", "pos")) for few in (F.lit(0), -F.floor(F.log2("copies")).cast("int"))]
+    groups = rows.groupBy("token", "band").agg(F.array_distinct(F.array(*first)).alias("at"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEADER_GROUP)
+    leaders = groups.select("token", "band", F.explode("at").alias("at")).select("token", "band", "at.*")
+    a, b = _named(leaders, "a"), _named(rows.drop("copies", "before"), "b")
     met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_band") == F.col("b_band")) & _near() & (_earlier("a", "b") | _earlier("b", "a")))
     ends = (F.when(_earlier("a", "b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("doc_id", "ln"))
     return met.select(*ends).distinct()
