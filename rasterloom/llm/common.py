@@ -34,10 +34,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom/{tag}-{uuid.uuid4().hex}"
+    # shuffle files of earlier steps, which no plan can read any more, go when the driver's collector finds that out
+    spark._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    # the driver's collector is what lets go of shuffle files that no plan can read any more
-    spark._jvm.System.gc()
     out._rasterloom_path = path
     return out
 
