@@ -1,9 +1,9 @@
 """Operator 7: BPE by a trie of distinct words.
 
 In a byte-pair encoding each prefix of a word has one possible last token: the token t that ends it, is its own encoding,
-and may follow the last token of the prefix without t. Distinct words go into a trie, each depth first from the deepest
-node that it shares with earlier ones; each node gets its prefix's last token once, from the states above it. A word's ids
-are read off by walking back up. The trie, and the words whose ids are remembered, are bounded and start anew when full.
+and may follow the last token of the prefix without t. The distinct words of some megabytes of text that aren't remembered go into a
+trie, which is traversed depth first by sorting them: each node gets its prefix's last token once, from the states above it, and only the
+states above the current node are held. A word's ids are read off by walking back up. Ids of words are remembered in two generations of bounded size.
 
 Two tokens may stand side by side if no merge across their border would have come before the merges that made them. The
 tokens' spines along the border are walked in the order in which merges happen; that needs each merge to come after those
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import chunks, map_batches
-from rasterloom.llm.wordbpe import Memory, Parts, mapped
+from rasterloom.llm.wordbpe import Parts, mapped
+
+#: Chunks and words that one generation of the memory holds before it becomes the old one.
+REMEMBERED = 200_000
+#: Bytes of text whose distinct words make one trie.
+TEXT_BYTES = 1 << 22
 
 
 class TrieBpe:
@@ -49,23 +55,23 @@ class TrieBpe:
             if max(made.get(left, -1), made.get(right, -1)) >= r:
                 raise ValueError("a merge precedes the merges that make its parts")
         self.made = made
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
         for t in sorted(ids.values(), key=lambda t: made.get(t, -1)):
             half = self.halves.get(t)
             self.sound[t] = half is None or self.sound[half[0]] and self.sound[half[1]] and self.meets(*half, made[t])
         self.usable = {s: i for s, i in ids.items() if self.sound[i]}
         self.longest = max(len(s) for s in self.usable)
+        # token and character -> the token of both: most prefixes end in the last token of the prefix before, made longer
+        self.longer = {(self.usable[s[:-1]], s[-1]): i for s, i in self.usable.items() if s[:-1] in self.usable}
         self.chars = {i: len(s) - (len(self.tail) if self.tail and s.endswith(self.tail) else 0) for s, i in ids.items()}
         t = Tokenizer.from_file(path)
         self.parts = Parts(t)
         self.strings = [b""] * (max([*ids.values(), *self.parts.specials.values()]) + 1)
         for s, i in [*ids.items(), *self.parts.specials.items()]:
             self.strings[i] = s.encode()
-        self.memory = Memory(self.parts, self.encode_word, 100_000)
-        # the trie: node and character -> node below, and each node's last token; one table takes a third of a table a node
-        self.below: dict[int, int] = {}
-        self.state, self.limit = [-1], 300_000
+        # ids of chunks between white space and of their parts, in two generations: what isn't met again for long goes
+        self.chunks, self.old_chunks, self.words, self.old_words = {}, {}, {}, {}
 
     def spine(self, t: int, right: bool) -> list[int]:
         """Tokens along t's right (or left) border, from the first symbol to t."""
@@ -94,41 +100,43 @@ class TrieBpe:
                 j += 1
 
     def may_follow(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 150_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[key] = self.meets(a, b)
         return known
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a word: down the trie, where each new node gets its prefix's last token, then back over the tokens."""
-        if word in self.parts.specials:
-            return [self.parts.specials[word]]
-        w = mapped(word)
-        if len(self.state) > self.limit:
-            self.below.clear()
-            del self.state[1:]
-        below, state = self.below, self.state
-        node, path = 0, [-1]
-        inner = w[:-1] if self.tail else w
-        for depth, c in enumerate(inner, 1):
-            edge = node << 21 | ord(c)
-            node = below.get(edge)
-            if node is None:
-                last = self._last(inner, depth, "", path)
-                node = below[edge] = len(state)
-                state.append(last)
-            path.append(state[node])
-        out, at = [], len(w)
-        if self.tail:
-            out.append(self._last(w, at, self.tail, path))
-            at -= self.chars[out[0]]
-        while at:
-            out.append(path[at])
-            at -= self.chars[path[at]]
-        return out[::-1]
+    def traverse(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word with its ids, through the trie of all of them, depth first.
+
+        In sorted order the next word shares its longest possible prefix with the one before: path holds the last token of each of
+        the current word's prefixes, is cut back to what is shared, and grows by one node a character.
+        """
+        tail, chars, longer, pairs = self.tail, self.chars, self.longer, self.pairs
+        path, before = [-1], ""
+        for whole, word in sorted((mapped(word), word) for word in words):
+            inner, shared = whole[:-1] if tail else whole, 0
+            for x, y in zip(inner, before, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            for depth in range(shared + 1, len(inner) + 1):
+                last = longer.get((path[-1], inner[depth - 1]))
+                if last is not None and (start := depth - chars[last]):
+                    follows = pairs.get(path[start] << 32 | last)
+                    last = last if (follows if follows is not None else self.may_follow(path[start], last)) else None
+                path.append(self._last(inner, depth, "", path) if last is None else last)
+            before, out, at = inner, [], len(whole)
+            if tail:
+                out.append(self._last(whole, at, tail, path))
+                at -= chars[out[0]]
+            while at:
+                out.append(path[at])
+                at -= chars[path[at]]
+            yield word, out[::-1]
 
     def _last(self, text: str, end: int, tail: str, path: list[int]) -> int:
         """The one usable token that ends text[:end] and may follow the last token of what is before it."""
@@ -138,14 +146,39 @@ class TrieBpe:
             if token is not None:
                 if not start:
                     return token
-                before = (path[start], token)
-                known = pairs.get(before)
-                if known if known is not None else self.may_follow(*before):
+                known = pairs.get(path[start] << 32 | token)
+                if known if known is not None else self.may_follow(path[start], token):
                     return token
         raise ValueError(f"no encoding of {text[:end]!r}")
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Remembers the ids of words, traversing those not known yet."""
+        known, new = self.words, []
+        for word in words:
+            ids = self.old_words.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif word in self.parts.specials:
+                known[word] = array("I", [self.parts.specials[word]]).tobytes()
+            else:
+                new.append(word)
+        known.update((word, array("I", ids).tobytes()) for word, ids in self.traverse(new))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.memory.text, texts))
+        """Ids of each text as little-endian 32-bit integers."""
+        if len(self.chunks) > REMEMBERED:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.words) > REMEMBERED:
+            self.old_words, self.words = self.words, {}
+        parts, chunks, words = self.parts, self.chunks, self.words
+        odd = [bool(parts.odd.search(x)) or "<|" in x for x in texts]
+        split = [parts.of(x) if o else x.lower().split() for x, o in zip(texts, odd, strict=True)]
+        new = {w for ws, o in zip(split, odd, strict=True) if not o for w in ws if w not in chunks}
+        chunks.update((w, self.old_chunks[w]) for w in new if w in self.old_chunks)
+        cut = {w: parts.pattern.findall(w) for w in new if w not in chunks}
+        self.learn({p for ps in cut.values() for p in ps if p not in words} | {p for ps, o in zip(split, odd, strict=True) if o for p in ps if p not in words})
+        chunks.update((w, b"".join(map(words.__getitem__, ps))) for w, ps in cut.items())
+        return [b"".join(map((words if o else chunks).__getitem__, ws)) for ws, o in zip(split, odd, strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens' strings with blanks between, as a tokenizer without a decoder joins them."""
@@ -165,7 +198,7 @@ def _coder(path: str):
     bpe = _load(path)
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", TEXT_BYTES):
             ids = bpe.encode([x or "" for x in part.column(1).to_pylist()])
             yield [part.column(0), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids]]
 
@@ -176,7 +209,7 @@ def _encoder(path: str):
     bpe = _load(path)
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", TEXT_BYTES):
             yield [part.column(0), [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode([x or "" for x in part.column(1).to_pylist()])]]
 
     return run
