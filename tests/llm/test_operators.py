@@ -209,6 +209,22 @@ def test_curriculum(docs):
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in collected(curriculum.digest(docs)))
 
 
+def test_curriculum_of_repeated_rows(spark):
+    same_row, null_row = [(5, "w " * 100, "a")] * 10, [(None, "x " * 50, "b")] * 10
+    rows = same_row + null_row + [(k, "v " * (k % 9 + 1), "c") for k in range(60)] + [(7, f"text {k} " * 3, "c") for k in range(20)] + [(8, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    columns = ["doc_id", "size", "source_size", "target", "taken", "copies", "position"]
+    got = collected(curriculum.digest(df))
+    same(got, oracle(df, curriculum.ORACLE), columns)
+    for k, size in ((5, 100), (None, 50), (7, 9)):
+        own = [r for r in got if r["doc_id"] == k]
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    for total in {r["source_size"] for r in got if r["source_size"]}:
+        own = [r for r in got if r["source_size"] == total]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
+    assert curriculum.mix(df).count() == sum(r["copies"] for r in got)
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     labels = spark.createDataFrame([], "doc_id long, quality int")
