@@ -18,9 +18,11 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines see; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all machines see. Where that is unset: a temporary folder of a single machine, on a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         where = _own_dir()
     return where.rstrip("/")
 
