@@ -201,10 +201,16 @@ def rebuilt(docs: DataFrame) -> DataFrame:
     return out.withColumn("new_text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.array_join(F.col("rest.line"), "\n")))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the lines taken out of text; n_chars, where there is one, is the new length."""
-    new = {"text": F.col("new_text"), "n_chars": F.char_length("new_text").cast("long")}
-    return rebuilt(docs).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+def dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs with the lines taken out of text; n_chars, where there is one, is the new length. drop_emptied: without the rows that lost all their words."""
+    out, new = rebuilt(docs), {"text": F.col("new_text"), "n_chars": F.char_length("new_text").cast("long")}
+    if drop_emptied:
+        out = out.filter(F.col("rest").isNull() | _worded_text("new_text") | ~_worded_text("text"))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def _worded_text(text: str) -> Column:
+    return F.ltrim(text, F.lit(SPACES + "\n")) != ""
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -115,6 +115,15 @@ def test_line_dedup(docs):
     assert out[0]["text"] is None and out[None]["text"] == "null id" and out[16]["size"] == 7
 
 
+def test_line_dedup_of_odd_tables(spark):
+    rows = [(1, "a b\nc d", 5, "k"), (2, "c d\na b", 6, None), (2, "c d\na b", 7, None), (3, " \n", 8, "x"), (4, "", 9, "y"), (5, "a\tb\n\nnew one", 1, "z"), (None, "a b", 2, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int, near string")
+    texts = lambda out: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["kept"]) for r in collected(out))
+    left = [(False, 1, "a b\nc d", 5), (False, 2, "", 6), (False, 2, "", 7), (False, 3, " \n", 8), (False, 4, "", 9), (False, 5, "\nnew one", 1), (True, 0, "a b", 2)]
+    assert texts(line_dedup.dedup(df)) == left and line_dedup.dedup(df).columns == df.columns
+    assert texts(line_dedup.dedup(df, drop_emptied=True)) == [r for r in left if r[1] != 2]
+
+
 def test_line_digest_counts_rebuilt_texts(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b\n\nc d\na b"), (2, "c d\ne f"), (3, None), (None, "a b")], "doc_id long, text string")
     row = lambda: {r["doc_id"]: (r["n_lines"], r["n_kept"], r["n_near"], r["kept_sum"]) for r in collected(line_dedup.digest(df))}
