@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import curriculum, jaccard_join, line_dedup, quality_fm, trie_bpe
-from rasterloom.llm.common import materialize
+from rasterloom.llm.common import discard, materialize
 from rasterloom.llm.queries import tokenizer
 
 #: Scores under this are rejected.
@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are equal or similar to an earlier one."""
-    return line_dedup.dedup(docs)
+    """Documents without the lines that are equal or similar to an earlier one. A document all of whose lines went is a copy and goes; one that
+    had no words before stays."""
+    return line_dedup.dedup(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """doc_id and ids of each document of the stream. Null texts, repeated rows and null doc_ids are what each stage's operator makes of them; an empty table gives no rows."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # the table of the stage before; the input is left alone
+        before = docs
     return docs
