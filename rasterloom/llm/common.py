@@ -37,6 +37,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom/{tag}-{uuid.uuid4().hex}"
     # shuffle files of earlier steps, which no plan can read any more, go when the driver's collector finds that out
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -71,7 +72,7 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 
 def map_batches(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str, *args) -> DataFrame:
-    """mapInArrow where make(*args) is called once a task and gives a function from a batch to columns, or None."""
+    """mapInArrow where make(*args) is called once a task and gives a function from a batch to columns, or None; at the end its close() is called, if it has one."""
 
     out = arrow_schema(schema)
 
@@ -80,6 +81,7 @@ def map_batches(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], It
         for batch in batches:
             for cols in f(batch) if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x.type) for c, x in zip(cols, out, strict=True)], schema=out)
+        getattr(f, "close", lambda: None)()
 
     return df.mapInArrow(run, schema)
 

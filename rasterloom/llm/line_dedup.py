@@ -88,11 +88,11 @@ def first_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"n": F.size("ws"), "ts": ranked(F.col("ws"), table, bits)})
     rows = rows.withColumn("p", F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1))
     # each word has one of 128 bits, in the one or the other long
-    flip = lambda own: lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", own(h).bitwiseAND(F.lit(1)), F.hash(h)))
-    par, par2 = (F.aggregate("ws", F.lit(0).cast("long"), flip(own)) for own in (lambda h: h, F.bitwise_not))
+    flip = lambda one: lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one(h), F.hash(h)))
+    whole, odd = (F.aggregate("ws", F.lit(0).cast("long"), flip(one)) for one in (lambda h: F.lit(1).cast("long"), lambda h: h.bitwiseAND(F.lit(1))))
     low = F.transform("p", lambda t: F.shiftright(t, 4).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", par.alias("par"), par2.alias("par2"), low.alias("prefix"))
-    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "par2", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", whole.alias("all"), odd.alias("par"), low.alias("prefix"))
+    firsts = firsts.withColumn("par2", F.col("all").bitwiseXOR(F.col("par"))).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "par2", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
     return materialize(firsts.select("at.*", "copies"), "line-firsts")
 
 

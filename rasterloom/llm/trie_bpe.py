@@ -30,7 +30,7 @@ from rasterloom.llm.wordbpe import Parts, mapped
 #: Chunks and words that one generation of the memory holds before it becomes the old one.
 REMEMBERED = 200_000
 #: Bytes of text whose distinct words make one trie.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 21
 
 
 class TrieBpe:
@@ -70,8 +70,12 @@ class TrieBpe:
         self.strings = [b""] * (max([*ids.values(), *self.parts.specials.values()]) + 1)
         for s, i in [*ids.items(), *self.parts.specials.items()]:
             self.strings[i] = s.encode()
-        # ids of chunks between white space and of their parts, in two generations: what isn't met again for long goes
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory: ids of chunks between white space and of their parts, in two generations, so that what isn't met again for long goes."""
         self.chunks, self.old_chunks, self.words, self.old_words = {}, {}, {}, {}
+        self.pairs.clear()
 
     def spine(self, t: int, right: bool) -> list[int]:
         """Tokens along t's right (or left) border, from the first symbol to t."""
@@ -202,6 +206,7 @@ def _coder(path: str):
             ids = bpe.encode([x or "" for x in part.column(1).to_pylist()])
             yield [part.column(0), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids]]
 
+    run.close = bpe.forget  # a worker that goes on to other stages doesn't hold it
     return run
 
 
@@ -212,6 +217,7 @@ def _encoder(path: str):
         for part in chunks(batch, "text", TEXT_BYTES):
             yield [part.column(0), [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode([x or "" for x in part.column(1).to_pylist()])]]
 
+    run.close = bpe.forget  # a worker that goes on to other stages doesn't hold it
     return run
 
 
