@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 #: The six characters that part words, as a character class of Java, RE2 and Python.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom/{tag}-{uuid.uuid4().hex}"
-    # shuffle files of earlier steps, which no plan can read any more, go when the driver's collector finds that out
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    spark._jvm.System.gc()
-    df.write.option("compression", "zstd").parquet(path)
+    # no plan reads the shuffle files of this write again, so they go when it ends
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._rasterloom_path = path
     return out
@@ -82,10 +87,19 @@ def map_batches(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], It
             for cols in f(batch) if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x.type) for c, x in zip(cols, out, strict=True)], schema=out)
         getattr(f, "close", lambda: None)()
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: the worker lives on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about limit bytes together: bounds what one step holds. A longer text is alone."""
     col = batch.column(batch.schema.get_field_index(text))
