@@ -87,12 +87,12 @@ def map_batches(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], It
             for cols in f(batch) if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x.type) for c, x in zip(cols, out, strict=True)], schema=out)
         getattr(f, "close", lambda: None)()
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: the worker lives on beside later stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -32,7 +32,7 @@ from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 #: Hash buckets of words, least and most, as powers of two: 16 a document between.
 BUCKET_BITS = (14, 19)
 #: So many of a line's rarest words look for leaders, in groups of at least so many lines: smaller groups make few pairs.
-LEADER_WORDS, LEADER_GROUP = 4, 4
+LEADER_WORDS, LEADER_GROUP = 5, 4
 #: Both joins run over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.

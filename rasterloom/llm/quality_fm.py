@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import chunks, map_batches, utf8
+from rasterloom.llm.common import chunks, give_back, map_batches, utf8
 from rasterloom.llm.textscan import Words
 
 BUCKETS = 1024
 FACTORS = 6
 SAMPLE_ROWS = 4096
 N_STATS = 14
+#: Bytes of text whose features are worked out at once.
+TEXT_BYTES = 1 << 18
 
 
 def statistics(words: Words, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -140,7 +142,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate:
 
 def _feature_rows():
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        for part in chunks(batch, "_text", 1 << 20):
+        for part in chunks(batch, "_text", TEXT_BYTES):
             yield [part.column(0), [row.tobytes() for row in features(part.select([0, *range(1, part.num_columns)]))]]
 
     return run
@@ -174,7 +176,7 @@ def _scorer(model, threshold: float):
     m: Model = model.value if hasattr(model, "value") else model
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
-        for part in chunks(batch, "_text", 1 << 20):
+        for part in chunks(batch, "_text", TEXT_BYTES):
             s = m.scores(features(part))
             yield [part.column(0), s, (s >= threshold).astype(np.int32)]
 
@@ -192,15 +194,14 @@ def score_column(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_
     """The score as a column of docs, for filters that keep all of a row's columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scores(rows):
-        import pandas as pd
+    @F.arrow_udf("double")
+    def scores(text: pa.Array, *meta: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, text, *meta], names=["_id", "_text", *(f"_m{k}" for k in range(len(meta)))])
+        found = np.concatenate([sent.value.scores(features(part)) for part in chunks(batch, "_text", TEXT_BYTES)])
+        give_back()
+        return pa.array(found)
 
-        table = pa.RecordBatch.from_pandas(rows, schema=pa.schema([("_text", pa.string()), *((f"_m{k}", pa.float64()) for k in range(len(metadata)))]), preserve_index=False)
-        batch = pa.RecordBatch.from_arrays([table.column(0), *table.columns], names=["_id", *table.schema.names])
-        return pd.Series(np.concatenate([sent.value.scores(features(part)) for part in chunks(batch, "_text", 1 << 20)]))
-
-    return scores(F.struct(*_rows(docs, metadata)))
+    return scores(*_rows(docs, metadata))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
