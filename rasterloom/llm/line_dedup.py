@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
 #: Hash buckets of words, least and most, as powers of two: 16 a document between.
-BUCKET_BITS = (14, 19)
+BUCKET_BITS = (14, 18)
 #: So many of a line's rarest words look for leaders, in groups of at least so many lines: smaller groups make few pairs.
 LEADER_WORDS, LEADER_GROUP = 5, 4
 #: Both joins run over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
@@ -64,20 +64,27 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> tuple[Column, int]:
-    """The rarity level (0 to 15) of each hash bucket, by the top bits of the hash, as a literal array, and the number of those bits: both bounded."""
+    """Rarity levels (0 to 15) of hash buckets by the top bits of the hash, as a literal array of 16 levels a long, and the number of those bits: both bounded."""
     bits = min(max((16 * max(1, docs.count()) - 1).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
     words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     shifted = F.call_function("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
-    levels = ["0"] * (1 << bits)
+    # the highest bit of each level is flipped, so that levels are in order as the high bits of signed longs
+    flipped = -0x7777777777777778
+    levels = [str(flipped)] * (1 << bits - 4)
     for p, word in counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted)).collect():  # 16 buckets a row
-        levels[16 * p : 16 * p + 16] = (str(word >> 4 * k & 15) for k in range(16))
+        levels[p] = str(word ^ flipped)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), bits
 
 
 def ranked(words: Column, table: Column, bits: int) -> Column:
-    """Hashes with the rarity level in the high bits and 59 bits of the hash in the low ones, rare first."""
-    place = lambda h: F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+    """Hashes with the rarity level in the 4 high bits and 60 bits of the hash in the low ones, rare first."""
+
+    def place(h: Column) -> Column:
+        sixteen = F.get(table, F.shiftrightunsigned(h, 68 - bits).cast("int"))
+        level = F.call_function("shiftrightunsigned", sixteen, F.shiftrightunsigned(h, 62 - bits).bitwiseAND(F.lit(60)).cast("int"))
+        return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+
     return F.sort_array(F.transform(words, place))
 
 
