@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 #: The six characters that part words, as a character class of Java, RE2 and Python.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -89,9 +90,17 @@ def map_batches(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], It
         getattr(f, "close", lambda: None)()
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches have BATCH_ROWS rows at most: they hold whole texts, on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: the worker lives on beside later stages."""
     pa.default_memory_pool().release_unused()

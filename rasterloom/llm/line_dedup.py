@@ -31,8 +31,8 @@ from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 
 #: Hash buckets of words, least and most, as powers of two: 16 a document between.
 BUCKET_BITS = (14, 18)
-#: So many of a line's rarest words look for leaders, in groups of at least so many lines: smaller groups make few pairs.
-LEADER_WORDS, LEADER_GROUP = 5, 4
+#: Groups of fewer lines need no leaders: they make few pairs.
+LEADER_GROUP = 4
 #: Both joins run over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
@@ -130,7 +130,8 @@ def _near() -> Column:
 
 def leader_pairs(firsts: DataFrame, part: int) -> DataFrame:
     """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words, in one part of all words, and is about as long."""
-    rows = entries(firsts, F.slice("prefix", 1, LEADER_WORDS), "copies").filter(F.col("token") % PASSES == part).withColumn("band", F.floor(F.log("n") * 9).cast("int"))
+    # lines of one size that are similar share one of the first n - ceil(8 n / 9) + 1 words
+    rows = entries(firsts, F.slice("prefix", F.lit(1), F.floor(F.col("n") / 9).cast("int") + 1), "copies").filter(F.col("token") % PASSES == part).withColumn("band", F.floor(F.log("n") * 9).cast("int"))
     first = [F.min(F.struct(few.alias("few"), "doc_id", "ln", "n", "par", "par2", "pos")) for few in (F.lit(0), -F.floor(F.log2("copies")).cast("int"))]
     groups = rows.groupBy("token", "band").agg(F.array_distinct(F.array(*first)).alias("at"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEADER_GROUP)
     leaders = groups.select("token", "band", F.explode("at").alias("at")).select("token", "band", "at.*")

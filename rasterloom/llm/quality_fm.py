@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import chunks, give_back, map_batches, utf8
+from rasterloom.llm.common import chunks, map_batches, small_batches, utf8
 from rasterloom.llm.textscan import Words
 
 BUCKETS = 1024
@@ -194,11 +194,12 @@ def score_column(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_
     """The score as a column of docs, for filters that keep all of a row's columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def scores(text: pa.Array, *meta: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text, text, *meta], names=["_id", "_text", *(f"_m{k}" for k in range(len(meta)))])
         found = np.concatenate([sent.value.scores(features(part)) for part in chunks(batch, "_text", TEXT_BYTES)])
-        give_back()
         return pa.array(found)
 
     return scores(*_rows(docs, metadata))
