@@ -132,7 +132,7 @@ _OVER = "ov AS (SELECT x::INTEGER + 2 AS x, y::INTEGER + 3 AS y, x * 20 % 256 AS
 # Fixed formulas of the separable modes, as SQL.
 _BLEND_SQL = {
     "normal": "s", "multiply": "b * s", "screen": "b + s - b * s", "overlay": "CASE WHEN b <= 0.5 THEN 2 * b * s ELSE 1 - 2 * (1 - b) * (1 - s) END", "darken": "least(b, s)", "lighten": "greatest(b, s)",
-    "color_dodge": "CASE WHEN b = 0 THEN 0 WHEN s >= 1 THEN 1 ELSE least(1.0::DOUBLE, b / (1 - s)) END", "color_burn": "CASE WHEN b >= 1 THEN 1 WHEN s <= 0 THEN 0 ELSE 1 - least(1.0::DOUBLE, (1 - b) / s) END",
+    "color_dodge": "CASE WHEN s >= 1 THEN 1 ELSE least(1.0::DOUBLE, b / (1 - s)) END", "color_burn": "CASE WHEN s <= 0 THEN 0 ELSE 1 - least(1.0::DOUBLE, (1 - b) / s) END",
     "hard_light": "CASE WHEN s <= 0.5 THEN 2 * b * s ELSE 1 - 2 * (1 - b) * (1 - s) END",
     "soft_light": "CASE WHEN s <= 0.5 THEN b - (1 - 2 * s) * b * (1 - b) ELSE b + (2 * s - 1) * ((CASE WHEN b <= 0.25 THEN ((16 * b - 12) * b + 4) * b ELSE sqrt(b) END) - b) END",
     "difference": "abs(b - s)", "exclusion": "b + s - 2 * b * s",

@@ -149,8 +149,8 @@ BLEND: dict[str, Callable[[Column, Column], Column]] = {
     "overlay": lambda b, s: F.when(b <= 0.5, 2 * b * s).otherwise(1 - 2 * (1 - b) * (1 - s)),
     "darken": lambda b, s: F.least(b, s),
     "lighten": lambda b, s: F.greatest(b, s),
-    "color_dodge": lambda b, s: F.when(b == 0, 0.0).when(s >= 1, 1.0).otherwise(F.least(F.lit(1.0), b / F.when(s >= 1, 1.0).otherwise(1 - s))),
-    "color_burn": lambda b, s: F.when(b >= 1, 1.0).when(s <= 0, 0.0).otherwise(1 - F.least(F.lit(1.0), (1 - b) / F.when(s <= 0, 1.0).otherwise(s))),
+    "color_dodge": lambda b, s: F.when(s >= 1, 1.0).otherwise(F.least(F.lit(1.0), b / F.when(s >= 1, 1.0).otherwise(1 - s))),
+    "color_burn": lambda b, s: F.when(s <= 0, 0.0).otherwise(1 - F.least(F.lit(1.0), (1 - b) / F.when(s <= 0, 1.0).otherwise(s))),
     "hard_light": lambda b, s: F.when(s <= 0.5, 2 * b * s).otherwise(1 - 2 * (1 - b) * (1 - s)),
     "soft_light": lambda b, s: F.when(s <= 0.5, b - (1 - 2 * s) * b * (1 - b)).otherwise(b + (2 * s - 1) * (F.when(b <= 0.25, ((16 * b - 12) * b + 4) * b).otherwise(F.sqrt(b)) - b)),
     "difference": lambda b, s: F.abs(b - s),

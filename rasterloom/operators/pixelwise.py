@@ -35,7 +35,7 @@ def levels(pixels: DataFrame, change: Channels | list[Channels]) -> DataFrame:
 def sized(pixels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """pixels with width and height of their image, from sizes(image_id, width, height) or from the pixels themselves."""
     sizes = sizes if sizes is not None else pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    return pixels.join(sizes.select("image_id", "width", "height"), "image_id")
+    return pixels.drop("width", "height").join(sizes.select("image_id", "width", "height"), "image_id")
 
 
 def crop(pixels: DataFrame, left: int, top: int, width: int, height: int) -> DataFrame:

@@ -65,7 +65,10 @@ def probe_jpeg(d: bytes) -> tuple[int, int, int, bool]:
             raise Broken("image data before a frame header")
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             return _u(d, at + 5, 2), _u(d, at + 3, 2), 1, False
-        at += max(2, _u(d, at, 2))
+        length = _u(d, at, 2)
+        if length < 2:
+            raise Broken("a segment shorter than its length")
+        at += length
 
 
 def probe_png(d: bytes) -> tuple[int, int, int, bool]:
@@ -118,20 +121,33 @@ def probe_gif(d: bytes) -> tuple[int, int, int, bool]:
 
 
 def probe_webp(d: bytes) -> tuple[int, int, int, bool]:
-    kind = d[12:16]
+    """The canvas; frames are counted up to the end that the container states, if the file says that it moves."""
+    kind, flags = d[12:16], _u(d, 20, 1)
     if kind == b"VP8 ":
+        if d[23:26] != b"\x9d\x01\x2a":
+            raise Broken("no start code of a lossy image")
         return _u(d, 26, 2, "little") & 0x3FFF, _u(d, 28, 2, "little") & 0x3FFF, 1, False
     if kind == b"VP8L":
         bits = _u(d, 21, 4, "little")
+        if flags != 0x2F or bits >> 29:
+            raise Broken("no signature or version of a lossless image")
         return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 1, bool(bits >> 28 & 1)
     if kind != b"VP8X":
         raise Broken("no such first chunk")
-    frames, at = 0, 12
-    while at + 8 <= len(d):
-        frames += d[at : at + 4] == b"ANMF"
+    frames, at, stop = 0, 12, min(len(d), _u(d, 4, 4, "little") + 8)
+    while flags & 2 and at + 8 <= stop:
         n = _u(d, at + 4, 4, "little")
+        if d[at : at + 4] == b"ANMF":
+            _u(d, at + 14, 6)  # the frame's size must be there
+            frames += 1
         at += 8 + n + n % 2
-    return _u(d, 24, 3, "little") + 1, _u(d, 27, 3, "little") + 1, max(1, frames), bool(_u(d, 20, 1) & 16)
+    if flags & 2 and not frames:
+        raise Broken("an animation without frames")
+    return _u(d, 24, 3, "little") + 1, _u(d, 27, 3, "little") + 1, max(1, frames), bool(flags & 16)
+
+
+#: URNs of alpha planes: fixed values.
+ALPHA_URNS = (b"urn:mpeg:mpegB:cicp:systems:auxiliary:alpha", b"urn:mpeg:hevc:2015:auxid:1")
 
 
 def probe_boxes(d: bytes) -> tuple[int, int, int, bool]:
@@ -142,23 +158,26 @@ def probe_boxes(d: bytes) -> tuple[int, int, int, bool]:
         at, end, depth = stack.pop()
         while at + 8 <= end:
             seen += 1
-            if seen > 10_000 or depth > 4:
+            if seen > 10_000:
                 raise Broken("too many boxes")
             n, kind, head = _u(d, at, 4), d[at + 4 : at + 8], 8
             if n == 1:
                 n, head = _u(d, at + 8, 8), 16
             n = end - at if n == 0 else n
-            if n < head:
-                raise Broken("a box shorter than its head")
-            body, stop = at + head, min(end, at + n)
-            if kind == b"meta":
+            if n < head or n > end - at:
+                raise Broken("a box shorter than its head or longer than what holds it")
+            body, stop = at + head, at + n
+            if depth < 4 and kind == b"meta":
                 stack.append((body + 4, stop, depth + 1))
-            elif kind in (b"iprp", b"ipco"):
+            elif depth < 4 and kind in (b"iprp", b"ipco"):
                 stack.append((body, stop, depth + 1))
             elif kind == b"ispe":
+                if stop - body < 12:
+                    raise Broken("an extent too short")
                 sizes.append((_u(d, body + 4, 4), _u(d, body + 8, 4)))
             elif kind == b"auxC":
-                alpha |= b":alpha" in d[body:stop] or b":hevc:2015:auxid:1" in d[body:stop]
+                name, ended, _ = d[body + 4 : stop].partition(b"\0")
+                alpha |= bool(ended) and name in ALPHA_URNS
             at += n
     if not sizes:
         raise Broken("no extent")

@@ -36,6 +36,32 @@ def test_probes(spark):
         assert (row.p.error is None) == (want is not None)
 
 
+def test_hostile_headers():
+    riff = lambda body: b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
+    box = lambda kind, body, n=None: (8 + len(body) if n is None else n).to_bytes(4, "big") + kind + body
+    extent = box(b"ispe", bytes(4) + (7).to_bytes(4, "big") + (5).to_bytes(4, "big"))
+    good = {
+        "webp": riff(b"VP8 " + (10).to_bytes(4, "little") + b"\0\0\0\x9d\x01\x2a\x07\0\x05\0"),
+        "avif": box(b"meta", bytes(4) + box(b"iprp", box(b"ipco", extent + box(b"auxC", bytes(4) + headers.ALPHA_URNS[0] + b"\0")))),
+    }
+    bad = [
+        ("jpeg", b"\xff\xd8\xff\xe0\0\1" + bytes(20)),
+        ("webp", riff(b"VP8 " + bytes(14))),
+        ("webp", riff(b"VP8L" + (5).to_bytes(4, "little") + b"\x2e" + bytes(4))),
+        ("webp", riff(b"VP8L" + (5).to_bytes(4, "little") + b"\x2f" + (1 << 29).to_bytes(4, "little"))),
+        ("webp", riff(b"VP8X" + (10).to_bytes(4, "little") + b"\2" + bytes(9))),
+        ("avif", box(b"meta", bytes(4) + extent, 4000)),
+        ("avif", box(b"ispe", bytes(8))),
+    ]
+    assert headers.probe_bytes("webp", good["webp"]) == (7, 5, 1, False, None)
+    assert headers.probe_bytes("avif", good["avif"]) == (7, 5, 1, True, None)
+    for name, data in bad:
+        assert headers.probe_bytes(name, data)[:4] == (None,) * 4 and headers.probe_bytes(name, data)[4]
+    for name, data in good.items():
+        for n in range(len(data)):
+            headers.probe_bytes(name, data[:n])  # never raises
+
+
 def test_brands_end_with_their_box(spark):
     def of(major, *brands):
         return box(b"ftyp", major + bytes(4) + b"".join(brands))

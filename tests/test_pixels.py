@@ -4,6 +4,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from rasterloom import catalog
 from rasterloom.functions import color, geometry
 from rasterloom.operators import analysis, pixelwise
@@ -69,6 +71,17 @@ def test_palette_and_hashes(spark):
     assert [r.d for r in pairs.select(analysis.hamming(pairs.a, pairs.b).alias("d")).collect()] == [1, 4, 64]
 
 
+def test_dodge_and_burn_at_the_ends(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 0.0), (0.5, 0.5)], "b double, s double")
+    got = df.select(*(color.BLEND[n](F.col("b"), F.col("s")).alias(n) for n in ("color_dodge", "color_burn"))).collect()
+    assert [(r.color_dodge, r.color_burn) for r in got] == [(1.0, 0.0), (1.0, 0.0), (1.0, 0.0)]
+
+
+def test_sizes_replace_older_ones(spark):
+    df = spark.createDataFrame([(1, 0, 0, 9, 9), (1, 2, 1, 9, 9)], "image_id long, x int, y int, width int, height int")
+    assert {(r.width, r.height) for r in pixelwise.sized(df).collect()} == {(3, 2)}
+
+
 def test_classes_and_pairs_give_all_links(spark):
     hashes = {1: "0" * 16, 2: "0" * 16, 3: "0" * 15 + "1", 4: "0" * 15 + "1", 5: "0" * 15 + "1", 6: "f" * 16}
     df = spark.createDataFrame(list(hashes.items()), "image_id long, hash string")
@@ -85,7 +98,7 @@ def test_classes_and_pairs_give_all_links(spark):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "embeddings", "events", "lineitem"):
+    for t in ("part", "embeddings", "events", "lineitem", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = catalog.queries()[name](spark, SF).toPandas(), con.execute(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
