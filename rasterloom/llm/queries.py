@@ -52,7 +52,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_topk.exact_topk(_table(spark, sf_dir, "embeddings"))
+    return exact_topk.exact_topk(_table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

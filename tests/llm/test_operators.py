@@ -198,17 +198,36 @@ def test_windows_of_several_texts(spark):
     assert [(r.a, r.b) for r in found] == [(2, 3)]
 
 
+def _topk(rows, k=5):
+    q = [(i, [int(np.floor(256 * x)) if abs(x) < 1e300 else 256 * int(x) for x in map(float, v)]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for at, (i, v) in enumerate(q):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for other, (c, w) in enumerate(q) if other != at)[:k]
+            out += [{"query_id": i, "rank": rank, "vec_id": c, "score": -s if -(2**63) <= -s < 2**63 else None, "exact": str(-s)} for rank, (s, c) in enumerate(best, 1)]
+    return out
+
+
+FOUND = ["query_id", "rank", "vec_id", "score", "exact"]
+
+
 def test_exact_topk(spark):
-    rows = [(k, [random.choice([0.0, 0.5, -0.25, 0.101]) for _ in range(random.choice([4, 6]))], 0) for k in range(160)]
-    rows += [(200, None, 0), (201, [], 0), (250, [1.0, None], 0), (300, [float("nan")], 0), (None, [1.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    q = {k: [int(np.floor(256 * float(np.float32(x)))) for x in v] for k, v, _ in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for k in (k for k in q if k % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(q[k], q[c], strict=False)), c) for c in q if c != k)[:5]
-        want += [{"query_id": k, "rank": i, "vec_id": c, "score": -s} for i, (s, c) in enumerate(best, 1)]
-    for block in (1, 2048):
-        same(collected(exact_topk.exact_topk(df, block=block)), want, ["query_id", "rank", "vec_id", "score"])
+    rows = [(k, [float(np.float32(random.choice([0.0, 0.5, -0.25, 0.101]))) for _ in range(random.choice([4, 6]))]) for k in range(160)]
+    rows += [(200, None), (201, []), (250, [1.0, None]), (300, [float("nan")]), (350, [float("inf")]), (None, [1.0]), (400, [])]
+    rows += [rows[50], rows[50], rows[3], (50, [0.5] * 6), (100, [0.25] * 4)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, rank int")
+    for options in ({"block": 1}, {}, {"pass_bytes": 100}):
+        same(collected(exact_topk.exact_topk(df, **options)), _topk(rows), FOUND)
+
+
+def test_exact_topk_beyond_64_bits(spark):
+    far = [0.0, 1.0, -3.5, 2.0**40, -(2.0**40), 2.0**70 + 2.0**20, -(2.0**1000), 1.7e308, -1.7e308, 2.0**22]
+    rows = [(k % 120, [random.choice(far) for _ in range(4)]) for k in range(150)] + [(k, [2.0**40] * 4) for k in (0, 50, 51)] + [(k, [1.0, 2.0]) for k in range(200, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"pass_bytes": 100}):
+        same(collected(exact_topk.exact_topk(df, **options)), _topk(rows), FOUND)
+    numbers = [0, 1, -1, 255, 256, -256, 2**70, -(2**70), 2**700]
+    assert sorted(numbers) == sorted(numbers, key=exact_topk.order_key)
 
 
 def test_curriculum(docs):
