@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, geometry
-from rasterloom.operators import analysis, animation, packed, pixelwise
-from rasterloom.sources import headers, relations
+from rasterloom.operators import analysis, animation, marks, packed, pixelwise
+from rasterloom.sources import exif, files, headers, png, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -95,7 +95,7 @@ pixel_query("rotate_270", lambda p: pixelwise.rotate(p, -90), "SELECT image_id,
 pixel_query(
     "auto_orient",
     lambda p: pixelwise.auto_orient(p.withColumn("orientation", (F.col("image_id") % 8 + 1).cast("int"))),
-    """SELECT image_id, CASE o WHEN 2 THEN width - 1 - x WHEN 3 THEN width - 1 - x WHEN 5 THEN y WHEN 6 THEN height - 1 - y WHEN 7 THEN height - 1 - y WHEN 8 THEN y ELSE x END AS x,
+    _ORIENTED := """SELECT image_id, CASE o WHEN 2 THEN width - 1 - x WHEN 3 THEN width - 1 - x WHEN 5 THEN y WHEN 6 THEN height - 1 - y WHEN 7 THEN height - 1 - y WHEN 8 THEN y ELSE x END AS x,
     CASE o WHEN 3 THEN height - 1 - y WHEN 4 THEN height - 1 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN width - 1 - x WHEN 8 THEN width - 1 - x ELSE y END AS y, r, g, b, a FROM (SELECT *, image_id % 8 + 1 AS o FROM px)""",
 )
 pixel_query(
@@ -171,7 +171,8 @@ _MEAN = ", ".join(f"round(sum({n}) / count(*)::DOUBLE)::INTEGER AS {n}" for n in
 add("average_color", lambda s, d: analysis.average_color(pixelwise.apply(relations.part_pixels(s, d), color.grayscale())), f"WITH {OPAQUE}, out AS ({_GRAY}) SELECT image_id, {_MEAN} FROM out GROUP BY image_id")
 add("histogram", lambda s, d: analysis.histogram(relations.embedding_pixels(s, d)), f"WITH {EMB} SELECT image_id, channel, value, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT image_id, '{n}' AS channel, {n} AS value FROM px" for n in "rgba") + ") GROUP BY ALL")
 add("has_alpha", lambda s, d: analysis.has_alpha(relations.part_pixels(s, d, varied_alpha=True)), f"WITH {VARIED} SELECT image_id, bool_or(a <> 255) AS has_alpha FROM px GROUP BY image_id")
-pixel_query("pixelate", lambda p: analysis.pixelate(p, 4), "SELECT image_id, x, y, " + ", ".join(f"round(sum({n}) OVER w / count(*) OVER w::DOUBLE)::INTEGER AS {n}" for n in "rgba") + " FROM px WINDOW w AS (PARTITION BY image_id, x // 4, y // 4)", True)
+_PIXELATED = "SELECT image_id, x, y, " + ", ".join(f"round(sum({n}) OVER w / count(*) OVER w::DOUBLE)::INTEGER AS {n}" for n in "rgba") + " FROM px WINDOW w AS (PARTITION BY image_id, x // 4, y // 4)"
+pixel_query("pixelate", lambda p: analysis.pixelate(p, 4), _PIXELATED, True)
 _DHASH = f"""{OPAQUE}, gx AS (SELECT k AS gx FROM (SELECT unnest(range(9)) AS k)), gy AS (SELECT k AS gy FROM (SELECT unnest(range(8)) AS k)),
 c AS (SELECT image_id, gy, gx, sum(299 * r + 587 * g + 114 * b)::BIGINT AS s, count(*) AS c FROM px, gx, gy WHERE x >= gx * width // 9 AND x < greatest((gx + 1) * width // 9, gx * width // 9 + 1) AND y >= gy * 16 // 8 AND y < greatest((gy + 1) * 16 // 8, gy * 16 // 8 + 1) GROUP BY ALL),
 b AS (SELECT a.image_id, a.gy, a.gx, (a.s * n.c > n.s * a.c)::INTEGER AS bit FROM c a JOIN c n ON n.image_id = a.image_id AND n.gy = a.gy AND n.gx = a.gx + 1),
@@ -290,9 +291,67 @@ _packed_query("blur", packed.blur(1.5))
 _packed_query("resize_bilinear", packed.resize(24, 10, "bilinear"))
 _packed_query("resize_bicubic", packed.resize(24, 10, "bicubic"))
 _packed_query("resize_lanczos", packed.resize(24, 10, "lanczos"))
-_packed_query("thumbnail_then_sharpen", packed.resize(12, 12), packed.sharpen(0.5))
+_packed_query("thumbnail_then_sharpen", packed.thumbnail(12, 12), packed.sharpen(0.5))
 _packed_query("rotate_free", packed.rotate(30, (255, 255, 255, 255)))
 
+pixel_query("pixelate_packed", lambda p: packed.unpack(packed.change(packed.pack(p), packed.pixelate(4))), _PIXELATED, True)
+# the box that covers 12 x 12 in the image's shape, cut out at the middle, nearest pixels
+_packed_query(
+    "thumbnail_nearest",
+    packed.thumbnail(12, 12, name="nearest"),
+    out="""SELECT image_id, k.x, k.y, r, g, b, a FROM (SELECT *, greatest(1, round(width * f))::INTEGER AS nw, greatest(1, round(16 * f))::INTEGER AS nh FROM (SELECT p_partkey AS id, p_size AS width, greatest(12::DOUBLE / p_size, 12::DOUBLE / 16) AS f FROM part WHERE p_size > 0)) s,
+    (SELECT x::INTEGER AS x, y::INTEGER AS y FROM (SELECT unnest(range(12)) AS x), (SELECT unnest(range(12)) AS y)) k
+    JOIN px ON image_id = id AND px.x = (k.x + (nw - 12) // 2) * s.width // nw AND px.y = (k.y + (nh - 12) // 2) * 16 // nh""",
+)
+
+#: Files: headers, limits, orientation, decoding, animations.
+
+
+def _turned_files(s: SparkSession, d: str) -> DataFrame:
+    """PNG files with an orientation each."""
+    chunks = F.udf(lambda content, k: bytes(content[:33]) + png._chunk(b"eXIf", exif.directory(k, "big" if k % 2 else "little")) + bytes(content[33:]), "binary")
+    return _png_files(s, d).select("image_id", chunks("content", (F.col("image_id") % 8 + 1).cast("int")).alias("content"))
+
+
+def _movies(s: SparkSession, d: str) -> DataFrame:
+    """Each image, then its negative, as a GIF file that plays twice."""
+    first = packed.pack(relations.embedding_pixels(s, d))
+    second = packed.pack(pixelwise.apply(relations.embedding_pixels(s, d), color.invert()))
+    frames = first.withColumns({"frame_no": F.lit(0), "delay_ms": F.lit(70)}).unionByName(second.withColumns({"frame_no": F.lit(1), "delay_ms": F.lit(130)}))
+    return files.to_gif(frames, plays=2)
+
+
+def _movie_frames(s: SparkSession, d: str) -> DataFrame:
+    rows = files.decode(_movies(s, d)).select((F.col("image_id") * 1000 + F.col("delay_ms")).alias("image_id"), "width", "height", "data")
+    return digest(packed.unpack(rows))
+
+
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    own = packed.pack(relations.part_pixels(s, d)).withColumn("mark", F.concat(F.lit("part "), F.col("image_id")).cast("binary"))
+    return marks.read(marks.embed(own, marks.LsbMark(), "mark"), marks.LsbMark()).select("image_id", "status", F.col("payload").cast("string").alias("payload"))
+
+
+def _block_marked(s: SparkSession, d: str) -> DataFrame:
+    large = packed.change(packed.pack(relations.embedding_pixels(s, d)), packed.resize(256, 256, "nearest")).withColumn("mark", F.col("image_id").cast("string").cast("binary"))
+    key = marks.DctMark(key=b"secret")
+    return marks.read(marks.embed(large, key, "mark"), key).select("image_id", "status", F.col("payload").cast("string").alias("payload"))
+
+
+add("open_files", lambda s, d: digest(packed.unpack(files.decode(_turned_files(s, d)).filter("error IS NULL"))), f"WITH {VARIED}, out AS ({_ORIENTED}) {DIGEST}")
+add(
+    "open_files_limits",
+    lambda s, d: files.inspect(_turned_files(s, d), {"width": 45, "pixels": 600}).select("image_id", "format", "width", "height", "orientation", "error"),
+    """SELECT p_partkey AS image_id, 'png' AS format, p_size::INTEGER AS width, 16 AS height, (p_partkey % 8 + 1)::INTEGER AS orientation,
+    CASE WHEN p_size > 45 THEN 'width is ' || p_size || ', the limit is 45' WHEN p_size * 16 > 600 THEN 'pixels is ' || p_size * 16 || ', the limit is 600' END AS error FROM part WHERE p_size > 0""",
+)
+add("gif_round_trip", _movie_frames, f"WITH {EMB}, out AS (SELECT image_id * 1000 + 70 AS image_id, x, y, r, g, b, a FROM px UNION ALL SELECT image_id * 1000 + 130, x, y, 255 - r, 255 - g, 255 - b, a FROM px) {DIGEST}")
+add(
+    "lsb_mark",
+    _marked,
+    "SELECT image_id, CASE WHEN fits THEN 'intact' ELSE 'absent' END AS status, CASE WHEN fits THEN mark END AS payload FROM (SELECT p_partkey AS image_id, 'part ' || p_partkey AS mark, p_size * 16 * 3 >= 8 * (11 + length('part ' || p_partkey)) AS fits FROM part WHERE p_size > 0)",
+)
+add("dct_mark", _block_marked, "SELECT vec_id AS image_id, 'authentic' AS status, vec_id::VARCHAR AS payload FROM embeddings")
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import ParameterError, within
-from rasterloom.functions.geometry import half_up
+from rasterloom.functions.geometry import ANCHORS, half_up
 from rasterloom.sources import png
 
 Kernel = Callable[[np.ndarray], np.ndarray]
@@ -149,6 +149,44 @@ def resize(width: int, height: int, name: str = "lanczos") -> Kernel:
     return run
 
 
+def thumbnail(width: int, height: int, anchor: str = "center", upscale: bool = True, name: str = "lanczos") -> Kernel:
+    """Covers a box in the image's own shape, then cuts the box out at an anchor. Without upscaling, an image that would grow keeps its size,
+    and one that then doesn't hold the box is refused."""
+    if anchor not in ANCHORS:
+        raise ParameterError(f"unknown anchor {anchor}")
+    resize(width, height, name)  # the same parameters are refused
+    across, down = ANCHORS[anchor]
+
+    def run(raster: np.ndarray) -> np.ndarray:
+        h, w, _ = raster.shape
+        factor = max(width / w, height / h)
+        nw, nh = max(1, half_up(w * factor)), max(1, half_up(h * factor))
+        if upscale or nw * nh <= w * h:
+            raster = resize(nw, nh, name)(raster)
+        h, w, _ = raster.shape
+        if width > w or height > h:
+            raise ParameterError(f"a box of {width} x {height} leaves an image of {w} x {h}")
+        left, top = (w - width) * across // 2, (h - height) * down // 2
+        return raster[top : top + height, left : left + width]
+
+    return run
+
+
+def pixelate(size: int) -> Kernel:
+    """Each block of size x size pixels as its mean; alpha too. Blocks at the right and bottom edge are cut."""
+    within("block size", size, 1, 1 << 20)
+
+    def run(raster: np.ndarray) -> np.ndarray:
+        h, w, _ = raster.shape
+        ys, xs = np.arange(0, h, size), np.arange(0, w, size)
+        sums = np.add.reduceat(np.add.reduceat(raster.astype(np.int64), ys, axis=0), xs, axis=1)
+        tall, wide = np.diff([*ys, h]), np.diff([*xs, w])
+        means = _bytes(sums / (tall[:, None] * wide[None, :])[..., None])
+        return np.repeat(np.repeat(means, tall, axis=0), wide, axis=1)
+
+    return run
+
+
 def _along(v: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
     """One-dimensional convolution; pixels past an edge are as the edge."""
     k, n = len(kernel) // 2, v.shape[axis]
