@@ -71,9 +71,10 @@ class Counter(dict):
         n = len(text)
         begins = list(range(0, n, chunk))
         wide = [(max(0, b - overlap), min(n, b + chunk)) for b in begins]
-        parts = [(a, z, s + a) for (a, z), s in zip(wide, self.starts([text[a:z] for a, z in wide]), strict=True)]
-        total, (_, end, left), since = 0, parts[0], 0
-        for a, z, right in parts[1:]:
+        # one chunk at a time: what is held is a chunk and the one before it, however long the text
+        parts = ((a, z, self.starts([text[a:z]])[0] + a) for a, z in wide)
+        total, (_, end, left), since = 0, next(parts), 0
+        for a, z, right in parts:
             reach, more = overlap, right
             while (cut := self.common(text, a, end, left, more, since)) is None:
                 reach *= 2
