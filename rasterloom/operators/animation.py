@@ -51,8 +51,10 @@ def keep_fold(pixels: DataFrame) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, key: str = "image_id") -> DataFrame:
-    """Merges integer ranges (first, last, both included) that overlap or touch."""
-    order = Window.partitionBy(key).orderBy("first", "last")
+    """Merges integer ranges (first, last, both included) that overlap or touch. Nulls come last, as in SQL.
+
+    Equal ranges are in one order for both windows, which share one sort: with a sort for each, the one that begins a group could come second."""
+    order = Window.partitionBy(key).orderBy(F.col("first").asc_nulls_last(), F.col("last").asc_nulls_last())
     top = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.when(top.isNull() | (F.col("first") > top + 1), 1).otherwise(0))
     grouped = marked.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -105,3 +105,18 @@ def test_query_equals_sql(spark, name):
     columns = sorted(got.columns)
     got, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_interval_merge_of_equal_and_missing_boxes(spark, tmp_path):
+    # image, part, quantity: many equal boxes, one row each of a missing part (no box) and a missing quantity (no right end)
+    rows = [(k % 500, k % 3 * 17 + 10, float(k % 4 * 3 + 2)) for k in range(9000)]
+    rows += [(k, None, 5.0) for k in range(0, 500, 3)] + [(k, 10 + k % 60, None) for k in range(0, 500, 5)] + [(900, None, 5.0), (901, 12, None)]
+    lines = spark.createDataFrame([(i, p, k, q) for k, (i, p, q) in enumerate(rows)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect(config={"threads": 1})  # its two windows are sorted alike by one thread alone
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["interval_merge"]).fetchall()
+    key = lambda r: tuple((x is None, x) for x in r)
+    merged = catalog.queries()["interval_merge"](spark, str(tmp_path))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted(map(tuple, merged.collect()), key=key) == sorted(want, key=key)
