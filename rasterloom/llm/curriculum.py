@@ -7,7 +7,8 @@ above: the limit is a common level, found from one ordered pass over sources.
 A source gives whole passes over its documents, in an order made by digests of doc_id and text, and then once more the documents whose middle lies
 before what is missing of its target: it comes as near as half the document at that place. Its weight over training time 0..1 runs along straight lines between knots; the integral, scaled to the target, is its
 cumulative demand, and a document's training position is the time at which demand reaches the document's place in its
-source's stream (inverse of the integral on the line piece that holds it). mix() range-sorts copies by position.
+source's stream (inverse of the integral on the line piece that holds it). Copies are range-sorted by position (in_order()): mix() gives that
+stream with whole rows; digest() writes it with sizes in place of texts, reads it back and counts in it what each row gave.
 
 Prefix sums over a source never meet in one task: documents are cut into digest buckets, whose sums are added up in a small table, and
 equal rows are counted by the partition they are read in before they meet.
@@ -82,11 +83,11 @@ def demand_inverse(share: Column, schedule: Column) -> Column:
 
 
 def mixture(docs: DataFrame, keep: Column | None = None, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, schedules=SCHEDULES) -> DataFrame:
-    """Each row's _source, size, source_size, target, copies, taken and the positions of its copies, beside keep under _doc."""
+    """Each row's number _row, _source, size, source_size, target, copies and the positions of its copies, beside keep under _doc."""
     text, at = F.col("text").cast("string"), ["_source", "_key", "_salt"]
     key = F.concat(*(F.md5(F.coalesce(c, F.lit("")).cast("binary")) for c in (F.col("doc_id").cast("string"), text)))
     kept = (keep if keep is not None else F.col("doc_id").cast("long")).alias("_doc")
-    rows = docs.select(kept, named(F.col("source").cast("string")).alias("_source"), n_words(text).alias("size"), key.alias("_key"), F.spark_partition_id().alias("_salt"))
+    rows = docs.select(kept, named(F.col("source").cast("string")).alias("_source"), n_words(text).alias("size"), key.alias("_key"), F.spark_partition_id().alias("_salt"), F.monotonically_increasing_id().alias("_row"))
     if keep is None:  # narrow: texts are read and words counted once
         rows = materialize(rows, "sizes")
     # prefix sums: over equal rows read in one partition, within a bucket of digests, and over the buckets of a source
@@ -110,22 +111,31 @@ def mixture(docs: DataFrame, keep: Column | None = None, weights=WEIGHTS, share:
     knots = F.get(F.array(*(F.array(*map(F.lit, s)) for s in schedules)), F.col("_rank") % len(schedules))
     stream = F.greatest(F.col("target"), F.lit(1.0))
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: demand_inverse(F.least(F.lit(1.0), (middle + c * F.col("source_size")) / stream), knots)))
-    return out.select("_doc", "_source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.coalesce(positions, F.array().cast("array<double>")).alias("positions"))
+    return out.select("_doc", "_row", "_source", "size", "source_size", "target", "copies", F.coalesce(positions, F.array().cast("array<double>")).alias("positions"))
+
+
+def in_order(copies: DataFrame, doc_id: str) -> DataFrame:
+    """Copies range-sorted by training position."""
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["_position", F.xxhash64(F.col(doc_id))]
+    return copies.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The training stream: docs' columns once for each copy, range-sorted by training position."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = mixture(docs, row, **parameters).select("_doc", F.explode("positions").alias("_position"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["_position", F.xxhash64(F.col("_doc.doc_id"))]
-    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("_doc.*")
+    return in_order(rows, "_doc.doc_id").select("_doc.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of each row, and the training position of its first copy."""
-    first = F.round(F.get("positions", F.lit(0)), 6)
-    return mixture(docs).select(F.col("_doc").alias("doc_id"), "size", "source_size", "target", "taken", "copies", first.alias("position"))
+    """doc_id, size, source_size, target of each row; taken, copies and the position of its first copy, as they are in the training stream."""
+    plan = materialize(mixture(docs), "mixture")
+    stream = materialize(in_order(plan.select("_doc", "_row", "size", F.explode("positions").alias("_position")), "_doc"), "stream")
+    given = stream.groupBy("_row").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).cast("int").alias("copies"), F.round(F.min("_position"), 6).alias("position"))
+    rows = plan.select("_row", F.col("_doc").alias("doc_id"), "size", "source_size", "target").join(given, "_row", "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c)
+    return rows.select("doc_id", "size", "source_size", "target", none("taken", "long"), none("copies", "int"), "position")
 
 
 ORACLE = r"""

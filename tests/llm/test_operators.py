@@ -253,6 +253,23 @@ def test_curriculum_of_repeated_rows(spark):
     assert curriculum.mix(df).count() == sum(r["copies"] for r in got)
 
 
+def test_curriculum_is_counted_in_its_stream(spark, monkeypatch):
+    rows = [(k, "w " * (k % 7), "abc"[k % 3]) for k in range(90)] + [(5, "w " * 5, "a")] * 4 + [(None, "x y", None)]
+    df, written = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), {}
+    whole = curriculum.materialize
+    monkeypatch.setattr(curriculum, "materialize", lambda t, tag: written.setdefault(tag, whole(t, tag)))
+    got = collected(curriculum.digest(df))
+    files = sorted(f for f in written["stream"].inputFiles() if "part-" in f)
+    places = [[r["_position"] for r in spark.read.parquet(f).collect()] for f in files]
+    assert len(files) > 1 and sum(places, []) == sorted(sum(places, []))
+    assert len(sum(places, [])) == sum(r["copies"] for r in got) == curriculum.mix(df).count()
+    # a stream that lost its second half takes less
+    half = sorted(sum(places, []))[len(sum(places, [])) // 2]
+    monkeypatch.setattr(curriculum, "materialize", lambda t, tag: whole(t.filter(f"_position < {half}") if tag == "stream" else t, tag))
+    less = collected(curriculum.digest(df))
+    assert len(less) == len(got) and 0 < sum(r["taken"] for r in less) < sum(r["taken"] for r in got)
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     labels = spark.createDataFrame([], "doc_id long, quality int")
