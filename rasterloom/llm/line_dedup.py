@@ -7,9 +7,10 @@ has a Jaccard similarity of at least 0.8 to it and is itself the first of its co
    levels, as a literal. Words in a line are sorted by it, rare ones first. Any order is exact; a rare-first one is fast.
 2. Lines: one pass makes each line's hashes, size, parity sketch and prefix: the first n - ceil(0.8 n) + 1 words, which lines that
    are similar must share one of. A minimum over place leaves the first of equal lines, so copies add nothing to what follows.
-3. Leaders: of the lines that share a prefix word and are about as long, the earliest, and the earliest of those with the most copies, are
+3. Leaders: of many lines that share a word of their cores and are about as long, the earliest, and the earliest of those with the most copies, are
    held against the others. A line that is similar to an earlier leader needs no further witness: a group of near copies makes as many pairs as lines.
-4. Join: every line is the earlier side, lines without a witness are the later one. They meet on prefix words; the condition has the length
+4. Join: lines without a witness bring their prefix words and their size class, every line its core, the rarest n - ceil(8 n / 9) + 1 words, which a line shares
+   one of with the prefix of a longer one, for each class that may hold one; a line with a witness brings its whole prefix to meet the others. The condition has the length
    filter, the positional filter (the words that follow must suffice for the overlap) and the parity sketch, whose differing bits can't outnumber
    the words that differ.
 5. Candidates are verified with their whole sets. Later lines of verified pairs go.
@@ -32,7 +33,7 @@ from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 #: Hash buckets of words, least and most, as powers of two: 16 a document between.
 BUCKET_BITS = (14, 18)
 #: Groups of fewer lines need no leaders: they make few pairs.
-LEADER_GROUP = 4
+LEADER_GROUP = 16
 #: Both joins run over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
@@ -41,7 +42,8 @@ BROADCAST_BYTES = 64 << 20
 
 def _words(line: Column) -> Column:
     """The words of a line, and empty strings between: parted at blanks, or by the slower pattern where it has other white space."""
-    return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, SPACE_CLASS)).otherwise(F.split(line, " "))
+    other = functools.reduce(Column.__or__, (F.contains(line, F.lit(c)) for c in "\t\x0b\f\r"))
+    return F.when(other, F.split(line, SPACE_CLASS)).otherwise(F.split(line, " "))
 
 
 def hashes(line: Column) -> Column:
@@ -78,12 +80,13 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
 
 
 def ranked(words: Column, table: Column, bits: int) -> Column:
-    """Hashes with the rarity level in the 4 high bits and 60 bits of the hash in the low ones, rare first."""
+    """Numbers of the words of hashes with the rarity level in the 4 high bits, rare first. The 60 low bits are those of the hash, xor what stands below its level."""
 
     def place(h: Column) -> Column:
         sixteen = F.get(table, F.shiftrightunsigned(h, 68 - bits).cast("int"))
-        level = F.call_function("shiftrightunsigned", sixteen, F.shiftrightunsigned(h, 62 - bits).bitwiseAND(F.lit(60)).cast("int"))
-        return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+        # the shift is 60 less the level's place; of ~x & 60, the places to the left
+        upward = F.bitwise_not(F.shiftrightunsigned(h, 62 - bits)).bitwiseAND(F.lit(60)).cast("int")
+        return F.call_function("shiftleft", sixteen, upward).bitwiseXOR(F.shiftrightunsigned(h, 4))
 
     return F.sort_array(F.transform(words, place))
 
@@ -103,10 +106,12 @@ def first_lines(docs: DataFrame) -> DataFrame:
     return materialize(firsts.select("at.*", "copies"), "line-firsts")
 
 
-def entries(lines: DataFrame, words: Column, *more: str) -> DataFrame:
-    """A row for each of words, with its place pos in them, the word before (or -1), and its line's doc_id, ln, n, sketch and more."""
-    rows = lines.select("doc_id", "ln", "n", "par", "par2", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token"))
-    return rows.withColumn("before", F.when(F.col("pos") > 0, F.get("ws", F.col("pos") - 1)).otherwise(F.lit(-1))).drop("ws")
+def entries(lines: DataFrame, words: Column, part: int, *more: str) -> DataFrame:
+    """A row for each of words in one part of all words: key (word and the line's band), the word's place pos, the word before (or -1), and the line's doc_id, ln, n, sketch and more."""
+    rows = lines.select("doc_id", "ln", "n", "par", "par2", "band", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token")).filter(F.col("token") % PASSES == part)
+    # one long, which sorts by its bits
+    key = F.shiftleft(F.col("token").cast("long"), 8).bitwiseOR(F.col("band").cast("long"))
+    return rows.withColumns({"key": key, "before": F.when(F.col("pos") > 0, F.get("ws", F.col("pos") - 1)).otherwise(F.lit(-1))}).drop("ws", "token", "band")
 
 
 def _named(rows: DataFrame, end: str) -> DataFrame:
@@ -128,27 +133,53 @@ def _near() -> Column:
     )
 
 
+def _core() -> Column:
+    """How many words of a prefix a line must share one of with a line that is similar and not shorter: n - ceil(8 n / 9) + 1."""
+    return F.floor(F.col("n") / 9).cast("int") + 1
+
+
+def _in_order(met: DataFrame) -> DataFrame:
+    """The pairs of met as a (earlier) and b (later), each once."""
+    ends = (F.when(_earlier("a", "b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("doc_id", "ln"))
+    return met.select(*ends).distinct()
+
+
 def leader_pairs(firsts: DataFrame, part: int) -> DataFrame:
     """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words, in one part of all words, and is about as long."""
-    # lines of one size that are similar share one of the first n - ceil(8 n / 9) + 1 words
-    rows = entries(firsts, F.slice("prefix", F.lit(1), F.floor(F.col("n") / 9).cast("int") + 1), "copies").filter(F.col("token") % PASSES == part).withColumn("band", F.floor(F.log("n") * 9).cast("int"))
+    # lines of one size that are similar share a word of their cores
+    rows = entries(firsts.withColumn("band", F.floor(F.log("n") * 9).cast("int")), F.slice("prefix", F.lit(1), _core()), part, "copies").drop("before")
+    groups = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEADER_GROUP).select("key"), "line-groups")
+    crowd = materialize(rows.join(F.broadcast(groups) if groups.count() * 96 <= BROADCAST_BYTES else groups, "key"), "line-crowds")
     first = [F.min(F.struct(few.alias("few"), "doc_id", "ln", "n", "par", "par2", "pos")) for few in (F.lit(0), -F.floor(F.log2("copies")).cast("int"))]
-    groups = rows.groupBy("token", "band").agg(F.array_distinct(F.array(*first)).alias("at"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEADER_GROUP)
-    leaders = groups.select("token", "band", F.explode("at").alias("at")).select("token", "band", "at.*")
-    a, b = _named(leaders, "a"), _named(rows.drop("copies", "before"), "b")
-    met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_band") == F.col("b_band")) & _near() & (_earlier("a", "b") | _earlier("b", "a")))
-    ends = (F.when(_earlier("a", "b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("doc_id", "ln"))
-    return met.select(*ends).distinct()
+    leaders = crowd.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("at")).select("key", F.explode("at").alias("at")).select("key", "at.*")
+    a, b = _named(leaders, "a"), _named(crowd.drop("copies"), "b")
+    out = materialize(_in_order(a.join(b, (F.col("a_key") == F.col("b_key")) & _near() & (_earlier("a", "b") | _earlier("b", "a")))), "line-pairs")
+    discard(groups, crowd)
+    return out
+
+
+def _band(n: Column) -> Column:
+    """The size class of n words; each is two thirds longer than the one before."""
+    return F.floor(F.log(n) * 2).cast("int")
 
 
 def all_pairs(firsts: DataFrame, settled: DataFrame, part: int) -> DataFrame:
-    """Pairs (a: earlier, b: later) of lines that share a prefix word of one part and pass the filters, where b isn't settled yet."""
-    own = F.col("token") % PASSES == part
-    a = _named(entries(firsts, F.col("prefix")).filter(own), "a")
-    b = _named(entries(firsts.join(settled, ["doc_id", "ln"], "left_anti"), F.col("prefix")).filter(own), "b")
+    """Pairs (a: earlier, b: later) of lines that share a prefix word of one part and pass the filters, where b isn't settled yet.
+
+    Of two similar lines the shorter shares a word of its core with the whole prefix of the longer. So every open line brings its whole prefix (b), to meet
+    the cores of lines that aren't longer (a); a settled line, which meets open lines alone, is in a with its whole prefix, be it shorter or longer."""
+    n = F.col("n")
+    known = firsts.join(settled.withColumn("gone", F.lit(True)), ["doc_id", "ln"], "left").withColumn("gone", F.col("gone").isNotNull())
+    least = F.when(F.col("gone"), F.floor((4 * n + 4) / 5)).otherwise(n)
+    classed = known.withColumn("band", F.explode(F.sequence(_band(least), _band(F.floor(5 * n / 4)))))
+    words = F.when(F.col("gone"), F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), _core()))
+    a = _named(entries(classed, words, part, "gone"), "a")
+    b = _named(entries(known.filter("NOT gone").withColumn("band", _band(n)), F.col("prefix"), part), "b")
+    # two open lines of one size meet in both orders
+    turn = F.when(F.col("a_gone"), _earlier("a", "b")).otherwise((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & _earlier("a", "b")))
     # lines that share the word before too have met there: that pair passes as well
-    met = a.join(b, (F.col("a_token") == F.col("b_token")) & ((F.col("a_before") != F.col("b_before")) | (F.col("a_before") == -1)) & _near() & _earlier("a", "b"))
-    return met.select("a_doc_id", "a_ln", "b_doc_id", "b_ln").distinct()
+    new = (F.col("a_before") != F.col("b_before")) | (F.col("a_before") == -1)
+    return materialize(_in_order(a.join(b, (F.col("a_key") == F.col("b_key")) & new & _near() & turn)), "line-pairs")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,8 +213,8 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _settled(docs: DataFrame, join, *tables: DataFrame) -> DataFrame:
-    """What verified() finds among the pairs that join gives, part by part."""
-    parts = [materialize(join(*tables, part), "line-pairs") for part in range(PASSES)]
+    """What verified() finds among the pairs of the tables that join gives, part by part."""
+    parts = [join(*tables, part) for part in range(PASSES)]
     out = verified(docs, functools.reduce(DataFrame.union, parts).distinct())
     discard(*parts)
     return out

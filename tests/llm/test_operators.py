@@ -124,6 +124,44 @@ def test_line_dedup_of_odd_tables(spark):
     assert texts(line_dedup.dedup(df, drop_emptied=True)) == [r for r in left if r[1] != 2]
 
 
+def _related_lines(count, words):
+    """Lines made by taking words out of earlier lines and putting others in, up to a little more than a pair may differ by."""
+    draw, out = random.Random(5), []
+    for _ in range(count):
+        line = list(draw.choice(out)) if out and draw.random() < 0.7 else [f"w{draw.randrange(words)}" for _ in range(draw.randrange(1, 40))]
+        for _ in range(draw.randrange(len(line) // 4 + 1)):
+            line.pop(draw.randrange(len(line)))
+        line += [f"w{draw.randrange(words)}" for _ in range(draw.randrange(len(line) // 8 + 2))]
+        out.append(line)
+    return [" ".join(line) for line in out if line]
+
+
+def test_line_dedup_finds_every_similar_pair(spark, monkeypatch):
+    lines = _related_lines(3000, 300)
+    df = spark.createDataFrame([(k * 7919 % 601, "\n".join(lines[k::600])) for k in range(600)], "doc_id long, text string")
+    want = oracle(df, line_dedup.ORACLE)
+    for group in (2, 16, 1 << 30):  # with many leaders, few and none
+        monkeypatch.setattr(line_dedup, "LEADER_GROUP", group)
+        got = collected(line_dedup.digest(df))
+        same(got, want, ["doc_id", "n_lines", "n_kept", "n_near", "kept_sum"])
+    assert sum(r["n_near"] for r in got) > 300
+
+
+def test_line_dedup_compares_lines_of_like_length(spark, monkeypatch):
+    draw, met = random.Random(6), []
+    lines = [" ".join(f"w{draw.randrange(900)}" for _ in range(draw.randrange(5, 200))) for _ in range(400)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    whole = line_dedup.entries
+    monkeypatch.setattr(line_dedup, "entries", lambda *args: met.append(whole(*args)) or met[-1])
+    firsts = line_dedup.first_lines(df)
+    per_word = firsts.selectExpr("explode(prefix) AS token").groupBy("token").count().selectExpr("sum(count * count)").first()[0]
+    line_dedup.all_pairs(firsts, firsts.select("doc_id", "ln").limit(0), 0).count()
+    key = next(c for c in ("key", "token") if c in met[0].columns)
+    a, b = (f.groupBy(key).count().withColumnRenamed("count", n) for f, n in zip(met, "ab", strict=True))
+    combinations = a.join(b, key).selectExpr("sum(a * b)").first()[0]
+    assert combinations * line_dedup.PASSES < per_word / 3
+
+
 def test_line_digest_counts_rebuilt_texts(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b\n\nc d\na b"), (2, "c d\ne f"), (3, None), (None, "a b")], "doc_id long, text string")
     row = lambda: {r["doc_id"]: (r["n_lines"], r["n_kept"], r["n_near"], r["kept_sum"]) for r in collected(line_dedup.digest(df))}
