@@ -34,8 +34,12 @@ from rasterloom.llm.common import SPACE_CLASS, SPACES, discard, materialize
 BUCKET_BITS = (14, 18)
 #: Groups of fewer lines need no leaders: they make few pairs.
 LEADER_GROUP = 16
-#: Both joins run over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
+#: The join of all lines runs over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
+#: Lines of so few words are compared by one long of their parity sketch; the second isn't made.
+ONE_LONG = 64
+#: The first-level map of an aggregate in generated code holds 2**16 keys, fewer than there are buckets; beyond it each word is looked up twice.
+MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 #: Lists of lines under so many bytes are broadcast, so that texts stay where they are; others move the texts.
 BROADCAST_BYTES = 64 << 20
 
@@ -66,49 +70,59 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> tuple[Column, int]:
-    """Rarity levels (0 to 15) of hash buckets by the top bits of the hash, as a literal array of 16 levels a long, and the number of those bits: both bounded."""
+    """Rarity levels (0 to 15) of hash buckets by the top bits of the hash, less 8, as a literal array, and the number of those bits: both bounded."""
     bits = min(max((16 * max(1, docs.count()) - 1).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
     words = _texts(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     shifted = F.call_function("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
-    # the highest bit of each level is flipped, so that levels are in order as the high bits of signed longs
-    flipped = -0x7777777777777778
-    levels = [str(flipped)] * (1 << bits - 4)
-    for p, word in counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted)).collect():  # 16 buckets a row
-        levels[p] = str(word ^ flipped)
+    packed = counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted))  # 16 buckets a row
+    held = docs.sparkSession.conf.get(MAP_BITS)
+    docs.sparkSession.conf.set(MAP_BITS, max(int(held), bits))
+    try:
+        rows = packed.collect()
+    finally:
+        docs.sparkSession.conf.set(MAP_BITS, held)
+    levels = ["-8"] * (1 << bits)
+    for p, word in rows:
+        levels[16 * p : 16 * p + 16] = [str((word >> k & 15) - 8) for k in range(0, 64, 4)]
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), bits
 
 
 def ranked(words: Column, table: Column, bits: int) -> Column:
-    """Numbers of the words of hashes with the rarity level in the 4 high bits, rare first. The 60 low bits are those of the hash, xor what stands below its level."""
+    """Numbers of the words of hashes with the rarity level in the 4 high bits, rare first. The 60 low bits are the hash's 60 high ones."""
 
     def place(h: Column) -> Column:
-        sixteen = F.get(table, F.shiftrightunsigned(h, 68 - bits).cast("int"))
-        # the shift is 60 less the level's place; of ~x & 60, the places to the left
-        upward = F.bitwise_not(F.shiftrightunsigned(h, 62 - bits)).bitwiseAND(F.lit(60)).cast("int")
-        return F.call_function("shiftleft", sixteen, upward).bitwiseXOR(F.shiftrightunsigned(h, 4))
+        # never null, and said so: arrays that can't hold nulls are sorted as plain longs
+        level = F.coalesce(F.get(table, F.shiftrightunsigned(h, 64 - bits).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(level, 60).bitwiseXOR(F.shiftrightunsigned(h, 4))
 
     return F.sort_array(F.transform(words, place))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, ln, copies, n, par, par2 (parity sketch) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
+    """doc_id, ln, copies, n, par, par2 (parity sketch, par2 beyond ONE_LONG words) and prefix (rare first, 31 bits of each word) of the first of each line's copies, as a table."""
     table, bits = rarity(docs)
     rows = _lines(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes(F.col("line")).alias("ws"))
-    rows = rows.withColumns({"n": F.size("ws"), "ts": ranked(F.col("ws"), table, bits)})
+    rows = rows.withColumn("ts", ranked(F.col("ws"), table, bits)).withColumn("n", F.size("ts"))
     rows = rows.withColumn("p", F.slice("ts", F.lit(1), F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1))
-    # each word has one of 128 bits, in the one or the other long
+    # each word has one of 64 bits in par; where there is par2, it has the odd words' bits as well
     flip = lambda one: lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one(h), F.hash(h)))
     whole, odd = (F.aggregate("ws", F.lit(0).cast("long"), flip(one)) for one in (lambda h: F.lit(1).cast("long"), lambda h: h.bitwiseAND(F.lit(1))))
+    odd = F.when(F.col("n") > ONE_LONG, odd).otherwise(F.lit(0).cast("long"))
     low = F.transform("p", lambda t: F.shiftright(t, 4).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    firsts = rows.select("h1", "h2", "doc_id", "ln", "n", whole.alias("all"), odd.alias("par"), low.alias("prefix"))
-    firsts = firsts.withColumn("par2", F.col("all").bitwiseXOR(F.col("par"))).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln", "n", "par", "par2", "prefix")).alias("at"), F.count(F.lit(1)).alias("copies"))
-    return materialize(firsts.select("at.*", "copies"), "line-firsts")
-
-
-def entries(lines: DataFrame, words: Column, part: int, *more: str) -> DataFrame:
-    """A row for each of words in one part of all words: key (word and the line's band), the word's place pos, the word before (or -1), and the line's doc_id, ln, n, sketch and more."""
-    rows = lines.select("doc_id", "ln", "n", "par", "par2", "band", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token")).filter(F.col("token") % PASSES == part)
+    # one number orders places, as an aggregate by hashing can't hold a struct; all else is the same for all copies
+    number = lambda ln: (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + ln).cast("decimal(38,0)")
+    firsts = rows.select("h1", "h2", "n", whole.alias("par"), odd.alias("par2"), low.alias("prefix"), "doc_id", number(F.col("ln")).alias("place"))
+    firsts = firsts.groupBy("h1", "h2", "n", "par", "par2", "prefix").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
+    ln = (F.col("place") - number(F.lit(0))).cast("int")
+    return materialize(firsts.select("doc_id", ln.alias("ln"), "n", "par", "par2", "prefix", "copies"), "line-firsts")
+
+
+def entries(lines: DataFrame, words: Column, part: int | None, *more: str) -> DataFrame:
+    """A row for each of words in one part of all words (None: in all): key (word and the line's band), the word's place pos, the word before (or -1), and the line's doc_id, ln, n, sketch and more."""
+    rows = lines.select("doc_id", "ln", "n", "par", "par2", "band", *more, words.alias("ws"), F.posexplode(words).alias("pos", "token"))
+    if part is not None:
+        rows = rows.filter(F.col("token") % PASSES == part)
     # one long, which sorts by its bits
     key = F.shiftleft(F.col("token").cast("long"), 8).bitwiseOR(F.col("band").cast("long"))
     return rows.withColumns({"key": key, "before": F.when(F.col("pos") > 0, F.get("ws", F.col("pos") - 1)).otherwise(F.lit(-1))}).drop("ws", "token", "band")
@@ -122,15 +136,30 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}_doc_id") < F.col(f"{b}_doc_id")) | ((F.col(f"{a}_doc_id") == F.col(f"{b}_doc_id")) & (F.col(f"{a}_ln") < F.col(f"{b}_ln")))
 
 
-def _near() -> Column:
+def _packed(rows: DataFrame, end: str) -> DataFrame:
+    """Entries, named, in six longs: rows that are sent and sorted are as short as can be. gone is the highest bit of n and ln."""
+    long = lambda high, low: F.shiftleft(high.cast("long"), 32).bitwiseOR(low)
+    line = long(F.col("n"), F.col("ln").cast("long"))
+    if "gone" in rows.columns:
+        line = F.when(F.col("gone"), line.bitwiseOR(F.lit(-(1 << 63)))).otherwise(line)
+    at = long(F.col("pos"), F.col("before").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    return _named(rows.select("key", "doc_id", line.alias("line"), at.alias("at"), "par", "par2"), end)
+
+
+def _unpacked(end: str) -> dict[str, Column]:
+    """What _packed() put away, by name."""
+    line, at = F.col(f"{end}_line"), F.col(f"{end}_at")
+    low = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    return {"doc_id": F.col(f"{end}_doc_id"), "ln": low(line), "n": F.shiftright(line, 32).bitwiseAND(F.lit((1 << 31) - 1)), "gone": line < 0, "pos": F.shiftright(at, 32), "before": low(at)}
+
+
+def _near(a: dict[str, Column] | None = None, b: dict[str, Column] | None = None) -> Column:
     """Whether the lines of entries a and b may be similar: length, positional and parity filter."""
-    both = F.col("a_n") + F.col("b_n")
-    differ = F.bit_count(F.col("a_par").bitwiseXOR(F.col("b_par"))) + F.bit_count(F.col("a_par2").bitwiseXOR(F.col("b_par2")))
-    return (
-        (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n"))
-        & (9 * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= 4 * both)
-        & (9 * differ <= both)
-    )
+    (a_n, a_pos), (b_n, b_pos) = ([x[c] if x else F.col(f"{end}_{c}") for c in ("n", "pos")] for end, x in (("a", a), ("b", b)))
+    both = a_n + b_n
+    par, par2 = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("par", "par2"))
+    differ = F.when(F.least(a_n, b_n) > ONE_LONG, F.bit_count(par.bitwiseXOR(par2)) + F.bit_count(par2)).otherwise(F.bit_count(par))
+    return (5 * F.least(a_n, b_n) >= 4 * F.greatest(a_n, b_n)) & (9 * F.least(a_n - a_pos, b_n - b_pos) >= 4 * both) & (9 * differ <= both)
 
 
 def _core() -> Column:
@@ -144,8 +173,8 @@ def _in_order(met: DataFrame) -> DataFrame:
     return met.select(*ends).distinct()
 
 
-def leader_pairs(firsts: DataFrame, part: int) -> DataFrame:
-    """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words, in one part of all words, and is about as long."""
+def leader_pairs(firsts: DataFrame, part: int | None = None) -> DataFrame:
+    """Pairs (a: earlier, b: later) of a leader and a line that shares one of its rarest words, in one part of all words (None: in all), and is about as long."""
     # lines of one size that are similar share a word of their cores
     rows = entries(firsts.withColumn("band", F.floor(F.log("n") * 9).cast("int")), F.slice("prefix", F.lit(1), _core()), part, "copies").drop("before")
     groups = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEADER_GROUP).select("key"), "line-groups")
@@ -172,14 +201,20 @@ def all_pairs(firsts: DataFrame, settled: DataFrame, part: int) -> DataFrame:
     known = firsts.join(settled.withColumn("gone", F.lit(True)), ["doc_id", "ln"], "left").withColumn("gone", F.col("gone").isNotNull())
     least = F.when(F.col("gone"), F.floor((4 * n + 4) / 5)).otherwise(n)
     classed = known.withColumn("band", F.explode(F.sequence(_band(least), _band(F.floor(5 * n / 4)))))
-    words = F.when(F.col("gone"), F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), _core()))
-    a = _named(entries(classed, words, part, "gone"), "a")
-    b = _named(entries(known.filter("NOT gone").withColumn("band", _band(n)), F.col("prefix"), part), "b")
+    # a word at place i is the first shared one only with lines of up to (5 n - 9 i) / 4 words; a class above n's begins beyond floor(e ** (band / 2))
+    reach = F.floor((5 * n - 4 * F.floor(F.exp(F.col("band") / 2))) / 9).cast("int") + 1
+    most = F.when(F.col("gone"), F.size("prefix")).otherwise(_core())
+    words = F.slice("prefix", F.lit(1), F.when(F.col("band") > _band(n), F.greatest(F.lit(0), F.least(most, reach))).otherwise(most))
+    left = _packed(entries(classed, words, part, "gone"), "a")
+    right = _packed(entries(known.filter("NOT gone").withColumn("band", _band(n)), F.col("prefix"), part), "b")
+    a, b = _unpacked("a"), _unpacked("b")
     # two open lines of one size meet in both orders
-    turn = F.when(F.col("a_gone"), _earlier("a", "b")).otherwise((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & _earlier("a", "b")))
+    earlier = (a["doc_id"] < b["doc_id"]) | ((a["doc_id"] == b["doc_id"]) & (a["ln"] < b["ln"]))
+    turn = F.when(a["gone"], earlier).otherwise((a["n"] < b["n"]) | ((a["n"] == b["n"]) & earlier))
     # lines that share the word before too have met there: that pair passes as well
-    new = (F.col("a_before") != F.col("b_before")) | (F.col("a_before") == -1)
-    return materialize(_in_order(a.join(b, (F.col("a_key") == F.col("b_key")) & new & _near() & turn)), "line-pairs")
+    new = (a["before"] != b["before"]) | (a["before"] == (1 << 32) - 1)
+    met = left.join(right, (F.col("a_key") == F.col("b_key")) & new & _near(a, b) & turn)
+    return materialize(_in_order(met.select("a_doc_id", a["ln"].cast("int").alias("a_ln"), "b_doc_id", b["ln"].cast("int").alias("b_ln"))), "line-pairs")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -207,14 +242,13 @@ def _small(table: DataFrame, lists: str) -> DataFrame:
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """first_lines(), and doc_id, ln of the lines to remove for an earlier similar line, as tables."""
     firsts = first_lines(docs)
-    led = _settled(docs, leader_pairs, firsts)
+    led = _settled(docs, [leader_pairs(firsts)])
     # an equal line at a later place is removed for its first place, and a pair of two later places has one of first places too
-    return firsts, led.union(_settled(docs, all_pairs, firsts, led))
+    return firsts, led.union(_settled(docs, [all_pairs(firsts, led, part) for part in range(PASSES)]))
 
 
-def _settled(docs: DataFrame, join, *tables: DataFrame) -> DataFrame:
-    """What verified() finds among the pairs of the tables that join gives, part by part."""
-    parts = [join(*tables, part) for part in range(PASSES)]
+def _settled(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """What verified() finds among the pairs of all parts, which go then."""
     out = verified(docs, functools.reduce(DataFrame.union, parts).distinct())
     discard(*parts)
     return out
@@ -223,21 +257,27 @@ def _settled(docs: DataFrame, join, *tables: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame) -> DataFrame:
     """doc_id, kept and near, as a table: for each document with a first line, its lines that stay, and how many went for a similar line."""
     firsts, near = near_copies(docs)
-    marked = firsts.select("doc_id", "ln").join(near.withColumn("gone", F.lit(True)), ["doc_id", "ln"], "left")
-    out = materialize(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone").isNull(), F.col("ln"))).alias("kept"), F.count("gone").alias("near")), "line-decisions")
+    # both by doc_id, each line once: no join
+    marked = firsts.select("doc_id", F.col("ln").alias("first"), F.lit(None).cast("int").alias("gone")).union(near.select("doc_id", F.lit(None).cast("int"), "ln"))
+    lists = marked.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("gone").alias("gone"))
+    kept = F.when(F.size("gone") == 0, F.col("firsts")).otherwise(F.filter("firsts", lambda ln: ~F.array_contains("gone", ln)))
+    out = materialize(lists.select("doc_id", kept.alias("kept"), (F.size("firsts") - F.size(kept)).cast("long").alias("near")), "line-decisions")
     discard(firsts)
     return out
 
 
 def rebuilt(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), doc_id, text, new_text (without the lines taken out), rest (its lines with their numbers in the old text; null where doc_id or text is) and near."""
+    """row (all columns of docs), doc_id, text, lines (of text), blank (numbers of those without words), rest (numbers of those that stay, from 0; null where doc_id or text is),
+    new_text (of these) and near."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(_small(decisions(docs), "kept"), "doc_id", "left")
-    stay = F.coalesce("kept", F.array().cast("array<int>"))
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line")))
-    rest = F.filter(numbered, lambda x: F.array_contains(stay, x["ln"]) | ~_worded(x["line"]))
-    out = joined.withColumn("rest", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), rest))
-    return out.withColumn("new_text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.array_join(F.col("rest.line"), "\n")))
+    joined = rows.join(_small(decisions(docs), "kept"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
+    wordless = F.array_except(F.transform("lines", lambda x, i: F.when(_worded(x), -1).otherwise(i)), F.array(F.lit(-1)))
+    out = joined.withColumn("blank", wordless)
+    # rows that share a doc_id may have lines that this text hasn't
+    stay = F.filter(F.sort_array(F.array_union(F.coalesce("kept", F.array().cast("array<int>")), F.col("blank"))), lambda i: i < F.size("lines"))
+    out = out.withColumn("rest", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), stay))
+    new_text = F.array_join(F.transform("rest", lambda i: F.get("lines", i)), "\n")
+    return out.withColumn("new_text", F.when(F.col("rest").isNull(), F.col("text")).otherwise(new_text))
 
 
 def dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
@@ -254,12 +294,11 @@ def _worded_text(text: str) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with words), n_kept, n_near and kept_sum (sum of the numbers of kept lines, from 0) of each row, counted in its rebuilt text."""
-    count = lambda text: F.size(F.filter(F.split(text, "\n"), _worded))
-    total = F.aggregate(F.filter("rest", lambda x: _worded(x["line"])), F.lit(0).cast("long"), lambda acc, x: acc + x["ln"])
+    total = F.aggregate(F.array_except("rest", "blank"), F.lit(0).cast("long"), lambda acc, i: acc + i)
     return rebuilt(docs).select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(count(F.col("text"))).cast("long").alias("n_lines"),
-        F.when(F.col("rest").isNull(), 0).otherwise(count(F.col("new_text"))).cast("long").alias("n_kept"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("blank")).cast("long").alias("n_lines"),
+        F.when(F.col("rest").isNull(), 0).otherwise(F.size(F.filter(F.split("new_text", "\n"), _worded))).cast("long").alias("n_kept"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce(total, F.lit(0)).cast("long").alias("kept_sum"),
     )
