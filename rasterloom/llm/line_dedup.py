@@ -10,7 +10,7 @@ has a Jaccard similarity of at least 0.8 to it and is itself the first of its co
 3. Leaders: of many lines that share a word of their cores and are about as long, the earliest, and the earliest of those with the most copies, are
    held against the others. A line that is similar to an earlier leader needs no further witness: a group of near copies makes as many pairs as lines.
 4. Join: lines without a witness bring their prefix words and their size class, every line its core, the rarest n - ceil(8 n / 9) + 1 words, which a line shares
-   one of with the prefix of a longer one, for each class that may hold one; a line with a witness brings its whole prefix to meet the others. The condition has the length
+   one of with the prefix of a longer one, for each class that may hold one (in a class above its own, only those that can be the first shared with so long a line); a line with a witness brings its whole prefix to meet the others. The condition has the length
    filter, the positional filter (the words that follow must suffice for the overlap) and the parity sketch, whose differing bits can't outnumber
    the words that differ.
 5. Candidates are verified with their whole sets. Later lines of verified pairs go.
@@ -36,6 +36,8 @@ BUCKET_BITS = (14, 18)
 LEADER_GROUP = 16
 #: The join of all lines runs over this many parts of the words, one after another, so that only one part's rows are on disk at a time.
 PASSES = 2
+#: With doc_ids under this, a place in a text is a long; else a decimal.
+LONG_PLACES = 1 << 32
 #: Lines of so few words are compared by one long of their parity sketch; the second isn't made.
 ONE_LONG = 64
 #: The first-level map of an aggregate in generated code holds 2**16 keys, fewer than there are buckets; beyond it each word is looked up twice.
@@ -76,12 +78,13 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     shifted = F.call_function("shiftleft", F.least(F.lit(15), F.floor(F.log2("c"))).cast("long"), (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
     packed = counts.groupBy(F.shiftright("b", 4).alias("p")).agg(F.bit_or(shifted))  # 16 buckets a row
-    held = docs.sparkSession.conf.get(MAP_BITS)
-    docs.sparkSession.conf.set(MAP_BITS, max(int(held), bits))
+    conf = docs.sparkSession.conf
+    held = conf.get(MAP_BITS)
+    conf.set(MAP_BITS, max(int(held), bits + 1))
     try:
         rows = packed.collect()
     finally:
-        docs.sparkSession.conf.set(MAP_BITS, held)
+        conf.set(MAP_BITS, held)
     levels = ["-8"] * (1 << bits)
     for p, word in rows:
         levels[16 * p : 16 * p + 16] = [str((word >> k & 15) - 8) for k in range(0, 64, 4)]
@@ -111,7 +114,11 @@ def first_lines(docs: DataFrame) -> DataFrame:
     odd = F.when(F.col("n") > ONE_LONG, odd).otherwise(F.lit(0).cast("long"))
     low = F.transform("p", lambda t: F.shiftright(t, 4).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     # one number orders places, as an aggregate by hashing can't hold a struct; all else is the same for all copies
-    number = lambda ln: (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + ln).cast("decimal(38,0)")
+    least, most = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    if least is None or -LONG_PLACES <= least and most < LONG_PLACES:
+        number = lambda ln: F.shiftleft(F.col("doc_id"), 31) + ln
+    else:
+        number = lambda ln: (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + ln).cast("decimal(38,0)")
     firsts = rows.select("h1", "h2", "n", whole.alias("par"), odd.alias("par2"), low.alias("prefix"), "doc_id", number(F.col("ln")).alias("place"))
     firsts = firsts.groupBy("h1", "h2", "n", "par", "par2", "prefix").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
     ln = (F.col("place") - number(F.lit(0))).cast("int")

@@ -162,6 +162,31 @@ def test_line_dedup_compares_lines_of_like_length(spark, monkeypatch):
     assert combinations * line_dedup.PASSES < per_word / 3
 
 
+def test_line_dedup_of_large_ids_and_long_lines(spark, monkeypatch):
+    lines = _related_lines(1500, 300)
+    shift = lambda k: (k * 7919 % 601 - 300) * (1 << 40)
+    small, large = (spark.createDataFrame([(f(k), "\n".join(lines[k::300])) for k in range(300)], "doc_id long, text string") for f in (lambda k: k * 7919 % 601 - 300, shift))
+    monkeypatch.setattr(line_dedup, "ONE_LONG", 8)  # of two lines one, both or none has two longs of its sketch
+    for df in (small, large):  # places are longs, decimals
+        got = collected(line_dedup.digest(df))
+        same(got, oracle(df, line_dedup.ORACLE), ["doc_id", "n_lines", "n_kept", "n_near", "kept_sum"])
+    assert sum(r["n_near"] for r in got) > 100
+
+
+def test_first_lines_are_neither_sorted_for_nor_sent_in_vain(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(46))) for k in range(50)], "doc_id long, text string")
+    plans, met = [], []
+    write, whole = line_dedup.materialize, line_dedup.entries
+    monkeypatch.setattr(line_dedup, "materialize", lambda out, tag: plans.append(out._jdf.queryExecution().executedPlan().toString()) or write(out, tag))
+    monkeypatch.setattr(line_dedup, "entries", lambda *args: met.append(whole(*args)) or met[-1])
+    firsts = line_dedup.first_lines(df)
+    assert "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+    # 46 words: the class above begins at 55, and a line of that size shares one of the first two words, if any, not one of all six
+    for part in range(line_dedup.PASSES):
+        line_dedup.all_pairs(firsts, firsts.select("doc_id", "ln").limit(0), part).count()
+    assert sum(a.count() for a in met[::2]) == 50 * (6 + 2)
+
+
 def test_line_digest_counts_rebuilt_texts(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b\n\nc d\na b"), (2, "c d\ne f"), (3, None), (None, "a b")], "doc_id long, text string")
     row = lambda: {r["doc_id"]: (r["n_lines"], r["n_kept"], r["n_near"], r["kept_sum"]) for r in collected(line_dedup.digest(df))}
